@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, quality_rules, secret_scan
+from lodestone.llm import bpe, decontamination, jaccard_join, quality_rules, secret_scan
 from lodestone.llm.common import materialise, read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).members.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask("base")).cast("long")) != 0
@@ -43,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op5_decontamination, op6_secret_scan, op10_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_quality_rules, op5_decontamination, op6_secret_scan, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
