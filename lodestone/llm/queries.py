@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, jaccard_join, quality_rules, secret_scan
-from lodestone.llm.common import materialise, read
+from lodestone.llm import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, secret_scan, toxicity
+from lodestone.llm.common import materialise, read, remainder
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,22 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).members.select("doc_id", "n_shingles", "component_id")
 
 
+def _scored(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return _scored(quality_classifier.score(docs, model, keep=["doc_id"]), held_out)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return _scored(toxicity.score(docs, model, keep=["doc_id"]), held_out)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask("base")).cast("long")) != 0
@@ -47,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_quality_rules, op5_decontamination, op6_secret_scan, op10_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op5_decontamination, op6_secret_scan, op7_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
