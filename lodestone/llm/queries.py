@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, secret_scan, toxicity
+from lodestone.llm import bpe, decontamination, html_extract, jaccard_join, quality_classifier, quality_rules, quote_linking, secret_scan, toxicity
 from lodestone.llm.common import materialise, read, remainder
 
 
@@ -41,6 +41,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(kept, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.chat_format(read(spark, sf_dir, "conversations"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -58,12 +62,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(secret_scan.joined(of_base), 256).alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"), zero("n_live"), zero("n_shared"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"], ids=False, digests=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op5_decontamination, op6_secret_scan, op7_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op4_chat_format, op5_decontamination, op6_secret_scan, op7_toxicity, op8_html_extract, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
