@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontamination, html_extract, jaccard_join, quality_classifier, quality_rules, quote_linking, secret_scan, toxicity
+from lodestone.llm import bpe, decontamination, gru_lm, html_extract, jaccard_join, quality_classifier, quality_rules, quote_linking, secret_scan, toxicity
 from lodestone.llm.common import materialise, read, remainder
 
 
@@ -66,12 +66,16 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(read(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"], ids=False, digests=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op4_chat_format, op5_decontamination, op6_secret_scan, op7_toxicity, op8_html_extract, op10_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op4_chat_format, op5_decontamination, op6_secret_scan, op7_toxicity, op8_html_extract, op9_gru_lm, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
