@@ -2,10 +2,595 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone import workloads
+from lodestone.functions import intmath, kernels
+from lodestone.operators import ordered
+from lodestone.plans import chunks
+from lodestone.plans.graph import Flow
+from lodestone.plans.observe import TraceObserver
+from lodestone.plans.runner import Executor
+from lodestone.sources import datasets
+from lodestone.streaming import pipeline
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+CENTS = "cast(round(value * 100) as bigint)"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx and v, the value in cents."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("v"))
+
+
+LINES = "(select l_orderkey, l_partkey, l_linenumber, cast(round(l_extendedprice * 100) as bigint) as v from lineitem)"
+EVENTS = f"(select event_id as idx, {CENTS} as v from events)"
+
+
+@query(f"select idx, v * 2 + 1 as value from {EVENTS}")
+def prj1_transform(spark, d):
+    return ordered.transform(events(spark, d), "idx", value=F.col("v") * 2 + 1)
+
+
+@query(f"select idx, cast(case when r >= 9223372036854775808 then r - 18446744073709551616 else r end as bigint) as value from (select idx, ((cast(v as hugeint) * 128) % 18446744073709551616 + (cast(v as hugeint) // 144115188075855872) + 2654435769) % 18446744073709551616 as r from {EVENTS})")
+def prj1_transform_scramble(spark, d):
+    return ordered.transform(events(spark, d), "idx", value=kernels.scramble(F.col("v")))
+
+
+@query(f"select idx, v * v % 1009 as value from {EVENTS}")
+def prj1_transform_batches(spark, d):
+    return ordered.transform_batches(events(spark, d), "idx", "v", lambda v: v * v % 1009, "long")
+
+
+@query("select i as idx, i * i as value from range(0, 5000) t(i)")
+def prj2_parallel_for(spark, d):
+    return ordered.parallel_for(spark, 0, 5000, value=F.col("idx") * F.col("idx"))
+
+
+@query("select event_id, round(tan(value), 6) as value from events")
+def prj3_for_each(spark, d):
+    return ordered.for_each(table(spark, d, "events").select("event_id", "value"), value=F.round(F.tan("value"), 6))
+
+
+@query(f"select min(idx) as idx from {EVENTS} where v > 9000")
+def flt1_find_first(spark, d):
+    return ordered.find(events(spark, d), "idx", F.col("v") > 9000)
+
+
+@query(f"select min(idx) as idx from {EVENTS} where v < -1")
+def flt1_find_none(spark, d):
+    return ordered.find(events(spark, d), "idx", F.col("v") < -1)
+
+
+@query(f"select idx, v from {EVENTS} where v % 1000 = 0 order by idx limit 1")
+def flt1_find_row(spark, d):
+    return ordered.find_row(events(spark, d), "idx", F.col("v") % 1000 == 0)
+
+
+@query("select count(*) as n_primes from range(0, 20000) t(i) where i >= 2 and not exists (select 1 from range(2, 142) s(k) where k < i and k * k <= i and i % k = 0)")
+def flt2_primes(spark, d):
+    return workloads.primes(spark, 20000)
+
+
+_REDUCED = {"sum": ("cast(7 + sum(v) as bigint)", 7), "min": ("least(5000, min(v))", 5000), "max": ("greatest(5000, max(v))", 5000), "bit_xor": ("xor(12345, bit_xor(v))", 12345), "bit_and": ("1048575 & bit_and(v)", 1048575), "bit_or": ("1 | bit_or(v)", 1), "count": ("cast(3 + count(v) as bigint)", 3)}
+
+
+def _reduced(name: str, init: int):
+    return lambda spark, d: ordered.reduce(lines(spark, d), "v", ordered.MONOIDS[name], F.lit(init).cast("long"))
+
+
+for _name, (_sql, _init) in _REDUCED.items():
+    _QUERIES[f"agg1_reduce_{_name}"] = _reduced(_name, _init)
+    _SQL[f"agg1_reduce_{_name}"] = f"select cast({_sql} as bigint) as value from {LINES}"
+
+
+@query(f"select cast(case when s >= 9223372036854775808 then s - 18446744073709551616 else s end as bigint) as value from (select sum(cast(v as hugeint) * 1000000007 * 999999937 % 9223372036854775783) % 18446744073709551616 as s from {LINES})")
+def agg1_reduce_wrapping_sum(spark, d):
+    big = F.col("v").cast("decimal(38,0)") * F.lit(1000000007 * 999999937).cast("decimal(20,0)") % F.lit("9223372036854775783").cast("decimal(38,0)")
+    return ordered.reduce(lines(spark, d).select(big.cast("long").alias("v")), "v", ordered.WRAPPING_SUM, 0)
+
+
+@query("select string_agg(n_name, '' order by n_nationkey) as value from nation")
+def agg1_reduce_ordered_text(spark, d):
+    return ordered.reduce_ordered_text(table(spark, d, "nation"), "n_nationkey", "n_name", block=4)
+
+
+@query("select '>' || string_agg(n_name, '' order by n_nationkey) as value from nation")
+def agg1_reduce_opaque(spark, d):
+    return ordered.reduce_opaque(table(spark, d, "nation"), "n_nationkey", "n_name", lambda a, b: a + b, ">", "string", block=4)
+
+
+@query("select cast(42 as bigint) as value")
+def agg1_reduce_empty(spark, d):
+    return ordered.reduce(events(spark, d).where("idx < 0"), "v", ordered.SUM, F.lit(42).cast("long"))
+
+
+@query(f"select cast(sum(v) as bigint) as value from {LINES}")
+def agg2_reduce_dynamic(spark, d):
+    return ordered.reduce(lines(spark, d).repartition(16), "v", ordered.SUM, F.lit(0).cast("long"))
+
+
+@query("select event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from events group by event_type")
+def agg3_fan_out(spark, d):
+    """A counter and a sum by many tasks: partial aggregates, not shared state."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
+
+
+@query(f"select idx, cast(sum(v) over (order by idx) as bigint) as value from {EVENTS}")
+def win1_inclusive_scan_sum(spark, d):
+    return ordered.inclusive_scan(events(spark, d), "idx", "v", ordered.SUM, block=1024)
+
+
+@query(f"select idx, max(v) over (order by idx) as value from {EVENTS}")
+def win1_inclusive_scan_max(spark, d):
+    return ordered.inclusive_scan(events(spark, d), "idx", "v", ordered.MAX, block=64, levels=2)
+
+
+@query(f"select idx, min(v) over (order by idx) as value from {EVENTS}")
+def win1_inclusive_scan_min(spark, d):
+    return ordered.inclusive_scan(events(spark, d), "idx", "v", ordered.MIN, block=64, levels=3)
+
+
+@query(f"select idx, cast(count(v) over (order by idx) as bigint) as value from {EVENTS}")
+def win1_inclusive_scan_count(spark, d):
+    return ordered.inclusive_scan(events(spark, d), "idx", "v", ordered.COUNT, block=512)
+
+
+@query(f"select idx, cast(7 + coalesce(sum(v) over (order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as value from {EVENTS}")
+def win2_exclusive_scan_sum(spark, d):
+    return ordered.exclusive_scan(events(spark, d), "idx", "v", ordered.SUM, 7, block=1024)
+
+
+@query(f"select idx, greatest(3000, coalesce(max(v) over (order by idx rows between unbounded preceding and 1 preceding), 0)) as value from {EVENTS}")
+def win2_exclusive_scan_max(spark, d):
+    return ordered.exclusive_scan(events(spark, d), "idx", "v", ordered.MAX, F.lit(3000).cast("long"), block=1024)
+
+
+@query()
+def win3_scan_wrapping_product(spark, d):
+    x = events(spark, d).select("idx", (F.col("v") * 2 + 1).cast("int").alias("v"))
+    return ordered.scan_opaque(x, "idx", "v", lambda a: np.multiply.accumulate(a.astype(np.int32), dtype=np.int32), lambda c, a: (a * c).astype(np.int32), block=1024)
+
+
+@query(f"select idx, cast(sum(v) over (order by idx) as bigint) as value from {EVENTS}")
+def win3_scan_opaque_sum(spark, d):
+    return ordered.scan_opaque(events(spark, d), "idx", "v", np.cumsum, lambda c, a: a + c, block=1000)
+
+
+ORDERS = "(select o_orderkey, cast(round(o_totalprice * 100) as bigint) as v from orders)"
+
+
+def _ranked(df: DataFrame, *by: str) -> DataFrame:
+    return ordered.with_index(df, *by)
+
+
+@query(f"select o_orderkey, v, row_number() over (order by v, o_orderkey) - 1 as idx from {ORDERS}")
+def srt1_sort_rank(spark, d):
+    return _ranked(table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v")), "v", "o_orderkey")
+
+
+@query(f"select o_orderkey, v from {ORDERS}")
+def srt1_sort(spark, d):
+    return ordered.sort(table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v")), "v", "o_orderkey")
+
+
+@query(f"select o_orderkey, -v as key, row_number() over (order by v % 100 desc, o_orderkey) - 1 as idx from {ORDERS}")
+def srt2_sort_by(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    keyed = x.select("o_orderkey", (-F.col("v")).alias("key"), (-(F.col("v") % 100)).alias("by"))
+    return _ranked(keyed, "by", "o_orderkey").drop("by")
+
+
+@query(f"select o_orderkey, w, row_number() over (order by case when w < 0 then 1 else 0 end, w, o_orderkey) - 1 as idx from (select o_orderkey, case when o_orderkey % 3 = 0 then -v else v end as w from {ORDERS})")
+def srt1_sort_unsigned(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    x = x.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, -F.col("v")).otherwise(F.col("v")).alias("w"))
+    return _ranked(x.withColumn("by", intmath.unsigned_key(F.col("w"))), "by", "o_orderkey").drop("by")
+
+
+@query("select r_regionkey, list_sort(list(n_nationkey), 'desc')[1] as first_key, count(*) as n from region join nation on r_regionkey = n_regionkey group by r_regionkey")
+def srt2_sort_array_by(spark, d):
+    got = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey").agg(F.collect_list("n_nationkey").alias("a"))
+    return got.select("r_regionkey", ordered.sort_array_by(F.col("a"), lambda x, y: (y - x).cast("int"))[0].alias("first_key"), F.size("a").cast("long").alias("n"))
+
+
+@query("select k as chunk_id, k * 313 as start, least((k + 1) * 313, 10000) as \"end\" from range(0, 32) t(k)")
+def pt1_chunks_auto(spark, d):
+    return chunks.auto(spark, 10000, 8)
+
+
+@query("select k as chunk_id, k * 1024 as start, least((k + 1) * 1024, 10000) as \"end\" from range(0, 10) t(k)")
+def pt4_chunks_dynamic(spark, d):
+    return chunks.dynamic(spark, 10000, 1024)
+
+
+@query("select k as chunk_id, k * 1428 + least(k, 4) as start, (k + 1) * 1428 + least(k + 1, 4) as \"end\" from range(0, 7) t(k)")
+def pt2_chunks_balanced(spark, d):
+    return chunks.balanced(spark, 10000, 7)
+
+
+@query("select * from (values (0::bigint, 0::bigint, 10::bigint), (1::bigint, 10::bigint, 25::bigint)) t(chunk_id, start, \"end\")")
+def pt3_chunks_static(spark, d):
+    return chunks.static(spark, [(0, 10), (10, 25)])
+
+
+@query("with recursive c(k, a, b) as (select cast(0 as bigint), cast(0 as bigint), cast(5000 as bigint) union all select k + 1, b, b + least(greatest((10000 - b) // 2, 16), 10000 - b) from c where b < 10000) select k as chunk_id, a as start, b as \"end\" from c")
+def pt5_chunks_guided(spark, d):
+    return chunks.guided(spark, 10000, 16)
+
+
+@query("select event_id // 500 as chunk_id, count(*) as n from events group by 1")
+def pt4_chunk_counts(spark, d):
+    return chunks.assign(table(spark, d, "events"), "event_id", 500).groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+def nation_flow() -> Flow:
+    """nation -> region edges by key, as a fixed tree: a root, 5 regions and 25 nations."""
+    flow = Flow("nations")
+    root = flow.placeholder("root")
+    regions = [flow.spawn(lambda: None, f"r{k}") for k in range(5)]
+    root.precede(*regions)
+    for k in range(25):
+        regions[k % 5].precede(flow.spawn(lambda: None, f"n{k}"))
+    return flow
+
+
+@query("select 31 as num_tasks, 30 as num_edges, 1 as num_roots, 25 as num_leaves")
+def g7_graph_summary(spark, d):
+    s = nation_flow().inspect().summary
+    return spark.createDataFrame([(s.num_tasks, s.num_edges, s.num_roots, s.num_leaves)], "num_tasks int, num_edges int, num_roots int, num_leaves int")
+
+
+@query("select cast(k as int) as task_id from range(6, 31) t(k)")
+def g7_graph_leaves(spark, d):
+    flow = nation_flow()
+    return flow.nodes_df(spark).select("task_id").join(flow.edges_df(spark).select(F.col("src").alias("task_id")), "task_id", "left_anti")
+
+
+@query("select cast(k as int) as task_id from (values (1), (2), (3)) t(k)")
+def g9_graph_cycle_nodes(spark, d):
+    flow = Flow()
+    a, b, c, e = (flow.spawn(lambda: None) for _ in range(4))
+    a.precede(b)
+    b.precede(c)
+    c.precede(b, e)
+    return spark.createDataFrame([(k,) for k in flow.cycle_nodes()], "task_id int")
+
+
+@query("select c_custkey as node, 1 as level from customer union all select o_orderkey + 100000000, 2 from orders union all select -1, 0")
+def w9_graph_traversal(spark, d):
+    _checkpoint_dir(spark)
+    customers = table(spark, d, "customer").select(F.lit(-1).cast("long").alias("src"), F.col("c_custkey").alias("dst"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 100000000).alias("dst"))
+    return workloads.graph_levels(customers.unionByName(orders), spark.createDataFrame([(-1,)], "node long"))
+
+
+def _checkpoint_dir(spark) -> None:
+    """The shared checkpoint folder of the session; a temporary one only where none is set."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+
+
+def _totals(spark, d, where: str) -> DataFrame:
+    return table(spark, d, "events").where(where).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
+
+
+_TOTAL = f"count(*) as n, cast(sum({CENTS}) as bigint) as total"
+
+
+@query(f"select {_TOTAL} from events where event_type = 'click'")
+def c1_flow_condition(spark, d):
+    """A condition reads a scalar and chooses which successor builds the result."""
+    executor, flow = Executor(2, spark), Flow()
+    choose = flow.spawn_condition(lambda: int(table(spark, d, "events").where("event_type = 'click'").limit(1).count() == 0))
+    choose.precede(flow.spawn(lambda: _totals(spark, d, "event_type = 'click'"), "out"), flow.spawn(lambda: _totals(spark, d, "true"), "out"))
+    flow.spawn(lambda: None).precede(choose)
+    return executor.run(flow).wait().results["out"]
+
+
+@query(f"select event_type, {_TOTAL} from events where event_type in ('click', 'view') group by event_type")
+def c2_flow_multi_condition(spark, d):
+    executor, flow = Executor(2, spark), Flow()
+    kinds = ["click", "error", "view"]
+    choose = flow.spawn_multi_condition(lambda: [0, 2])
+    choose.precede(*[flow.spawn(lambda k=k: _totals(spark, d, f"event_type = '{k}'").select(F.lit(k).alias("event_type"), "n", "total"), k) for k in kinds])
+    flow.placeholder().precede(choose)
+    results = executor.run(flow).wait().results
+    return results["click"].unionByName(results["view"])
+
+
+@query("select 5 as rounds")
+def c3_flow_loop(spark, d):
+    executor, flow, seen = Executor(2, spark), Flow(), []
+    body = flow.spawn(lambda: seen.append(1))
+    again = flow.spawn_condition(lambda: 0 if len(seen) < 5 else 1)
+    flow.placeholder().precede(body)
+    body.precede(again)
+    again.precede(body, flow.placeholder())
+    executor.run(flow).wait()
+    return spark.createDataFrame([(len(seen),)], "rounds int")
+
+
+@query(f"select {_TOTAL} from events where event_type <> 'error'")
+def c4_flow_subflow(spark, d):
+    executor, flow, kept = Executor(2, spark), Flow(), []
+
+    def build(inner):
+        first = inner.spawn(lambda: kept.append("event_type <> 'error'"))
+        first.precede(inner.placeholder())
+
+    flow.spawn_subflow(build).precede(flow.spawn(lambda: _totals(spark, d, kept[0]), "out"))
+    return executor.run(flow).wait().results["out"]
+
+
+@query(f"select {_TOTAL} from events where event_id < 300")
+def c5_flow_compose(spark, d):
+    executor, inner, flow, seen = Executor(1, spark), Flow("inner"), Flow("outer"), []
+    inner.spawn(lambda: seen.append(100))
+    parts = [flow.compose(inner) for _ in range(3)]
+    flow.spawn(lambda: _totals(spark, d, f"event_id < {sum(seen)}"), "out").succeed(*parts)
+    return executor.run(flow).wait().results["out"]
+
+
+@query("select 4 as n_runs, 3 as until_runs")
+def r3_flow_run_n_and_until(spark, d):
+    executor, flow, seen = Executor(2, spark), Flow(), []
+    flow.spawn(lambda: seen.append(1))
+    executor.run_n(flow, 4).wait()
+    n = len(seen)
+    executor.run_until(flow, lambda: len(seen) >= 7).wait()
+    return spark.createDataFrame([(n, len(seen) - n)], "n_runs int, until_runs int")
+
+
+@query("select l_returnflag, count(*) as n from lineitem group by l_returnflag")
+def a6_async_fan_in(spark, d):
+    executor = Executor(4, spark)
+    count = lambda f: table(spark, d, "lineitem").where(F.col("l_returnflag") == f).count()
+    flags = [r[0] for r in table(spark, d, "lineitem").select("l_returnflag").distinct().collect()]
+    handles = {f: executor.async_task(lambda f=f: count(f)) for f in flags}
+    return spark.createDataFrame([(f, h.wait()) for f, h in handles.items()], "l_returnflag string, n long")
+
+
+@query("select 3 as n, 'abc' as order_run")
+def a8_dependent_chain(spark, d):
+    executor, seen = Executor(3, spark), []
+    a = executor.silent_dependent_async(lambda: seen.append("a"))
+    b = executor.silent_dependent_async(lambda: seen.append("b"), a)
+    executor.dependent_async(lambda: seen.append("c"), a, b)[1].wait()
+    return spark.createDataFrame([(len(seen), "".join(seen))], "n int, order_run string")
+
+
+@query("select 55 as fib")
+def a9_task_group_fibonacci(spark, d):
+    executor = Executor(1, spark)
+
+    def fib(n: int) -> int:
+        if n < 2:
+            return n
+        out, group = {}, executor.task_group()
+        group.silent_async(lambda: out.__setitem__("a", fib(n - 1)))
+        out["b"] = fib(n - 2)
+        group.corun()
+        return out["a"] + out["b"]
+
+    return spark.createDataFrame([(executor.async_task(lambda: fib(10)).wait(),)], "fib int")
+
+
+@query("select t as token, cast(t % 4 as int) as line, t * 3 + 1 as value from range(0, 100) r(t)")
+def p1_pipeline(spark, d):
+    pipe = pipeline.Pipeline(spark, 4, [pipeline.Pipe.serial(pipeline.project(value=F.col("token") * 3)), pipeline.Pipe.parallel(pipeline.project(value=F.col("value") + 1))])
+    return pipe.frame(100)
+
+
+@query("select t as token, t * t as value from range(0, 37) r(t)")
+def p3_pipeline_stop_token(spark, d):
+    source = lambda c: c.stop() if c.token == 37 else c.token * c.token
+    return pipeline.DataPipeline(spark, 3).source(source, "long").build().frame().select("token", "value")
+
+
+@query(f"select idx as token, 'v' || v as value from {EVENTS} where idx < 500")
+def p5_pipeline_typed(spark, d):
+    rows = events(spark, d).where("idx < 500").select(F.col("idx").alias("token"), F.col("v").alias("value"))
+    return pipeline.DataPipeline(spark).source_frame(rows).stage(pipeline.project(value=F.concat(F.lit("v"), F.col("value").cast("string")))).build().frame()
+
+
+@query(f"select idx as token, v, cast(sum(v) over (order by idx) as bigint) as carried from {EVENTS}")
+def p6_pipeline_serial_carry(spark, d):
+    rows = events(spark, d).select(F.col("idx").alias("token"), "v")
+    return pipeline.DataPipeline(spark).source_frame(rows).stage(pipeline.running("v", ordered.SUM, "carried"), pipeline.SERIAL).build().frame()
+
+
+@query("select t as token, cast(t % 2 as int) as line, -t as value from range(0, 20) r(t)")
+def p4_scalable_pipeline(spark, d):
+    pipe = pipeline.ScalablePipeline(spark, 4)
+    pipe.reset_with_lines_and_pipes(2, [pipeline.Pipe.serial(pipeline.project(value=-F.col("token")))])
+    return pipe.frame(20)
+
+
+@query(f"select event_id as token, {CENTS} * 2 as value from events")
+def p5_pipeline_stream(spark, d):
+    """The stages of a batch pipeline on a file stream, run until all that is there is read."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="lodestone-")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "events")
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith("/events.parquet") else None
+    rows = rows.select(F.col("event_id").alias("token"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    flow = pipeline.DataPipeline(spark).source_frame(rows).stage(lambda df: df.select("token", (F.col("value") * 2).alias("value"))).build()
+    flow.stream(f"{base}/state", lambda df, k: df.write.mode("append").parquet(f"{base}/out")).awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("select 'task-0' as name, 1 as n union all select 'named', 2")
+def o2_trace_summary(spark, d):
+    executor, flow, trace = Executor(2, spark), Flow(), TraceObserver()
+    executor.add_observer(trace)
+    flow.spawn(lambda: None).precede(flow.spawn(lambda: None, "named"), flow.spawn(lambda: None, "named"))
+    executor.run(flow).wait()
+    return trace.to_df(spark).groupBy("name").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("select 4 as nodes, 4 as executed, 4 as decrements, 3 as ready")
+def o3_profile_counts(spark, d):
+    executor, flow = Executor(4), Flow()
+    root, left, right, join = flow.placeholder(), flow.spawn(lambda: None), flow.spawn(lambda: None), flow.spawn(lambda: None)
+    root.precede(left, right)
+    join.succeed(left, right)
+    flow.set_profile_enabled(True)
+    executor.run(flow).wait()
+    p = flow.last_profile
+    return spark.createDataFrame([(p.snapshot_nodes, p.graph_tasks_executed, p.graph_pending_decrements, p.graph_ready_successors)], "nodes int, executed int, decrements int, ready int")
+
+
+@query("select 1023 as n_tasks")
+def w2_binary_tree(spark, d):
+    executor, flow = Executor(4), workloads.binary_tree(10)
+    flow.set_profile_enabled(True)
+    executor.run(flow).wait()
+    return spark.createDataFrame([(flow.last_profile.graph_tasks_executed,)], "n_tasks int")
+
+
+_D1 = "((ln(s / 40.0) + (0.05 + 0.2 * 0.2 / 2) * 0.5) / (0.2 * sqrt(0.5)))"
+
+
+def _cdf(x: str) -> str:
+    k = f"(1 / (1 + 0.2316419 * abs({x})))"
+    poly = f"{k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429))))"
+    upper = f"(1 - {poly} * 0.39894228040143270286 * exp(-0.5 * {x} * {x}))"
+    return f"(case when {x} < 0 then 1 - {upper} else {upper} end)"
+
+
+@query(f"select event_id, round(s * {_cdf('d1')} - 40 * exp(-0.05 * 0.5) * {_cdf('d2')}, 4) as price from (select event_id, s, {_D1} as d1, {_D1} - 0.2 * sqrt(0.5) as d2 from (select event_id, value + 20 as s from events))")
+def w3_black_scholes(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("value") + 20).alias("s"))
+    return e.select("event_id", F.round(kernels.black_scholes(F.col("s"), F.lit(40.0), F.lit(0.05), F.lit(0.2), F.lit(0.5), F.lit(False)), 4).alias("price"))
+
+
+@query()
+def w4_data_pipeline(spark, d):
+    return workloads.data_stages(spark, 256)
+
+
+@query("select 1000 as n")
+def w1_async_tasks(spark, d):
+    return spark.createDataFrame([(workloads.async_tasks(Executor(4), 1000),)], "n int")
+
+
+@query("select event_id, round(s, 6) as value from (select event_id, sum(sin(value * k) * cos(value + k)) as s from events, range(1, 33) t(k) group by event_id)")
+def w5_embarrassing(spark, d):
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0.0), lambda a, k: a + F.sin(F.col("value") * k) * F.cos(F.col("value") + k))
+    return table(spark, d, "events").select("event_id", F.round(rounds, 6).alias("value"))
+
+
+@query("select cast(6765 as bigint) as fib")
+def w6_fibonacci(spark, d):
+    return workloads.fibonacci(spark, 20)
+
+
+@query()
+def w8_graph_pipeline(spark, d):
+    return workloads.graph_carry(datasets.level_graph(spark, 32, 6), 32, 6)
+
+
+@query("select round(41666.666667 * 0 + (10.0 * 10 * 10 * 10 / 4 + 10.0 * 10 / 2), 3) as area")
+def w10_integrate(spark, d):
+    return workloads.integrate(spark, 0.0, 10.0, 1e-4).select(F.round(F.round("area", 1), 3).alias("area"))
+
+
+@query("select 500 as n")
+def w11_linear_chain(spark, d):
+    seen = []
+    Executor(2).run(workloads.linear_chain(500, lambda: seen.append(1))).wait()
+    return spark.createDataFrame([(len(seen),)], "n int")
+
+
+@query()
+def w13_mandelbrot(spark, d):
+    return workloads.mandelbrot(spark, 64, 48).select("x", "y", "n", "colour.r", "colour.g", "colour.b")
+
+
+@query("select a.i as i, b.j as j, cast(sum((a.i + a.k) * (b.k - b.j)) as bigint) as v from (select i, k from range(0, 24) x(i), range(0, 24) y(k)) a join (select k, j from range(0, 24) x(k), range(0, 24) y(j)) b on a.k = b.k group by a.i, b.j")
+def w14_matrix_product(spark, d):
+    cells = spark.range(24 * 24).select(F.floor(F.col("id") / 24).alias("p"), (F.col("id") % 24).alias("q"))
+    return workloads.matrix_product(cells.select(F.col("p").alias("i"), F.col("q").alias("k"), (F.col("p") + F.col("q")).alias("v")), cells.select(F.col("p").alias("k"), F.col("q").alias("j"), (F.col("p") - F.col("q")).alias("v")))
+
+
+@query("select cast(4 as bigint) as n_solutions")
+def w16_nqueens(spark, d):
+    return workloads.nqueens(spark, 6)
+
+
+@query("select cast(49995000 as bigint) as total")
+def w20_skynet(spark, d):
+    return workloads.skynet(spark, 4)
+
+
+@query("select 1000 as n")
+def w22_thread_pool(spark, d):
+    executor, seen = Executor(4), []
+    for _ in range(10):
+        flow = Flow()
+        for _ in range(100):
+            flow.spawn(lambda: seen.append(1))
+        executor.run(flow).wait()
+    return spark.createDataFrame([(len(seen),)], "n int")
+
+
+@query("select cast(sum(i + j) as bigint) as total from range(0, 32) a(i), range(0, 32) b(j)")
+def w23_wavefront(spark, d):
+    return workloads.wavefront(spark, 256)
+
+
+@query("select t % 8 as place, count(*) as n from range(0, 4096) r(t) group by 1")
+def src2_range(spark, d):
+    return datasets.index_range(spark, 0, 4096).groupBy((F.col("idx") % 8).alias("place")).agg(F.count("*").alias("n"))
+
+
+@query("select cast(3072 as bigint) as idx")
+def src4_lcg_needle(spark, d):
+    return ordered.find(datasets.lcg(spark, 4096, 42), "idx", F.col("v") == datasets.NEEDLE - (1 << 64))
+
+
+@query("select t as token, t * 7 % 11 as v from range(0, 64) r(t)")
+def src3_generated(spark, d):
+    return datasets.generated(spark, lambda t: t * 7 % 11, 64)
