@@ -76,7 +76,7 @@ class BenchmarkReport:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(e.backend, e.scenario, k, x, e.checksum) for e in self.entries for k, x in enumerate(e.samples)]
-        return spark.createDataFrame(rows, "backend string, scenario string, iteration int, ms double, checksum decimal(20,0)")
+        return spark.createDataFrame(rows, "backend string, scenario string, iteration int, ms double, checksum long")
 
 
 def sequence_checksum(df: DataFrame, order: str, value: str) -> DataFrame:
