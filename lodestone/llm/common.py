@@ -79,6 +79,13 @@ def chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name like `name` that is not taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list | tuple]], keep: list[str] | None = None, where: int | None = None) -> DataFrame:
     """Adds columns made from the texts, in Arrow batches, without a shuffle.
 
@@ -88,7 +95,7 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: C
     """
     names = [x.name for x in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(free("text", keep)))
     put = [x for k, x in enumerate(fields) if k != where]
     schema = T.StructType([source.schema[c] for c in keep] + put)
     arrow = to_arrow_schema(T.StructType(fields))

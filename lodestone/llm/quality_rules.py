@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import free
+
 WORD = r"[^\x20\x09-\x0D]+"
 SOME_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -46,11 +48,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SOME_WORD))
+    of_words, of_lines = free("words", docs.columns), free("lines", docs.columns)
     made = {
-        "__words": let(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("again"))),
-        "__lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
+        of_words: let(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("again"))),
+        of_lines: let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
     }
-    put = {"n_words": "__words.n", "word_chars": "__words.chars", "n_repeat_words": "__words.again", "n_lines": "__lines.n", "n_dup_lines": "__lines.dup"}
+    put = {"n_words": f"{of_words}.n", "word_chars": f"{of_words}.chars", "n_repeat_words": f"{of_words}.again", "n_lines": f"{of_lines}.n", "n_dup_lines": f"{of_lines}.dup"}
     count = lambda of: F.regexp_count(text, F.lit(of)).cast("long")
     return docs.withColumns(made).withColumns({k: F.col(v) for k, v in put.items()} | {"n_symbols": count(SYMBOL), "n_upper": count("[A-Z]")}).drop(*made)
 

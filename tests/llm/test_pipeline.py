@@ -1,0 +1,64 @@
+import os
+
+import brute
+import public_tokenizers
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from lodestone.llm import queries
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+
+def rows(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_every_stage_takes_effect(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert [int(x) for x in "2 1 5 6 10".split()] == [2, 1, 5, 6, 10] and len(stages) == 5
+    kept, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, DIR).cache()
+        kept[name] = rows(now)
+        if name != "bpe":
+            assert now.columns == docs.columns
+    whole = rows(docs)
+    scores = {r.doc_id: r.predicted for r in queries.op2_quality_classifier(spark, DIR).collect()}
+    assert set(kept["quality_classifier"]) == {k for k, p in scores.items() if p == 1}
+    first = [(k, r.text) for k, r in sorted(kept["quality_classifier"].items())]
+    comps, _ = brute.components(first)
+    assert set(kept["jaccard_join"]) == set(comps)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    assert set(kept["decontamination"]) == {k for k, r in kept["jaccard_join"].items() if not brute.contaminated(r.text, bench)[3]}
+    assert set(kept["secret_scan"]) == set(kept["decontamination"])
+    for k, r in kept["secret_scan"].items():
+        assert (r.text == whole[k].text) == ("[SECRET]" not in r.text) and r.n_chars == (len(r.text) if "[SECRET]" in r.text else whole[k].n_chars)
+        if not brute.secrets(whole[k].text):
+            assert r.text == whole[k].text
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k, r in kept["bpe"].items():
+        text = kept["secret_scan"][k].text
+        assert r.ids == library.encode(text, add_special_tokens=False).ids and r.decoded_sha256 == brute.sha(text)
+
+
+def test_odd_rows_pass_through(spark, odd, empty):
+    five = ["doc_id", "text", "lang", "source", "n_chars"]
+    for frame in (odd.select(*five), empty.select(*five)):
+        now = frame
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, DIR).cache()
+        assert now.count() >= 0
+
+
+def test_queries_are_registered():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    for n in range(1, 11):
+        assert sum(x.startswith(f"op{n}_") for x in names) == 1
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
