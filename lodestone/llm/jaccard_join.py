@@ -4,7 +4,8 @@ Equal sets are one class. Each class puts its prefix, its rarest shingles, into
 are grouped in blocks of like size; the entry that stands first in each block is compared with all that size and
 position admit. A set's answers then follow from those of a highly similar set: two classes that are linked with one
 compared set are in one component, so nothing else about them is asked. Only entries of a list that are in different
-components after that are compared with each other. All of it is exact.
+components after that are compared: first with the nearest others, which joins most, then with all that remain. Parity
+signatures of the sets bound how far two of them differ, so few whole sets are ever read. All of it is exact.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ FREQUENT = 200_000
 FREQUENT_LEAST = 16
 #: Bits of the filter over texts whose sets are needed again; false hits cost time alone.
 FILTER_BITS = 26
+#: Words of 64 bits in a set's signature, a bitmap of the parity of its hashes.
+SIGNATURE = 8
+#: A set outside a list's largest component is first compared with so many nearest others, by signature, then with all.
+NEAREST = 2
 #: Lists up to this length are compared pair by pair at once.
 SHORT = 4
 #: Different words that a task remembers.
@@ -101,17 +106,28 @@ def ordered_prefix(h: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, size:
     return np.concatenate([rare, late[: size - len(rare)]])
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """For each of 64 * SIGNATURE places the parity of the hashes that fall there: two sets differ in as many hashes at least as their signatures in bits."""
+    place = (h.view(np.uint64) >> np.uint64(20)) & np.uint64(64 * SIGNATURE - 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * SIGNATURE) & 1).astype(np.uint8)).view(np.int64)
+
+
+def differences(n, m, percent: int):
+    """The most hashes in which linked sets of n and m differ."""
+    return n + m - 2 * overlap(n, m, percent)
+
+
 def _base(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Each row's id, text_key, n, fp (the hash of its set; null if empty) and, for the first row of a class in a task, its prefix by hash."""
+    """Each row's id, text_key, n, fp (the hash of its set; null if empty) and, for the first row of a class in a task, its prefix by hash and its signature."""
     from pyspark.sql import types as T
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType(), False))]
+    fields = [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType(), False)), T.StructField("bits", T.ArrayType(T.LongType(), False))]
 
     def make():
         shingles, met = Shingler(words), set()
 
         def run(texts):
-            sizes, prints, prefixes = [], [], []
+            sizes, prints, prefixes, signatures = [], [], [], []
             for t in texts:
                 h = shingles(t)
                 fp = _print(h)
@@ -120,7 +136,8 @@ def _base(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
                 sizes.append(len(h))
                 prints.append(fp)
                 prefixes.append(np.sort(h)[: prefix_size(len(h), percent)] if first else None)
-            return sizes, prints, prefixes
+                signatures.append(signature(h) if first else None)
+            return sizes, prints, prefixes, signatures
 
         return run
 
@@ -175,7 +192,7 @@ def _lists(batches, columns: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        got = [batch.column(k).to_numpy() for k in range(columns)]
+        got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
         held = got if held is None else [np.concatenate([x, y]) for x, y in zip(held, got, strict=True)]
         cut = np.searchsorted(held[0], held[0][-1])  # sorted by token
         if cut:
@@ -186,7 +203,7 @@ def _lists(batches, columns: int):
 
 
 def _first_pairs(percent: int):
-    """From lists sorted by token, n and fp: all pairs of short lists, and of others the pairs with the first entry of each block of like size, and the entries themselves."""
+    """From lists sorted by token, n and fp: all pairs of short lists, and of others the pairs with the first entry of their own block of like size and of the block below, and the entries themselves."""
 
     def run(batches):
         for token, fp, n, pos in _lists(batches, 4):
@@ -209,48 +226,69 @@ def _first_pairs(percent: int):
                 continue
             token, fp, n, pos = (x[long] for x in (token, fp, n, pos))
             heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            # blocks: entries up to the largest size that links with the block's first
-            pivot = np.empty(len(token), np.int64)
-            for begin, end in zip(heads, np.r_[heads[1:], len(token)], strict=True):
-                while begin < end:
-                    to = begin + np.searchsorted(n[begin:end], n[begin] * 100 // percent, "right")
-                    pivot[begin:to] = begin + np.argmin(pos[begin:to])
-                    begin = to
-            k = np.flatnonzero((pivot != np.arange(len(token))) & _admits(n[pivot], pos[pivot], n, pos, percent))
-            if len(k):
-                yield _rows(fp[pivot[k]], n[pivot[k]], fp[k], n[k])
+            # blocks: sizes whose ratio admits a link; a block's first entry is that of the least class, the same in most lists of a group
+            block = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
+            order = np.lexsort((fp, block, token))
+            token, fp, n, pos, block = (x[order] for x in (token, fp, n, pos, block))
+            heads = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+            own = np.repeat(heads, np.diff(np.r_[heads, len(token)]))
+            before = np.r_[-1, heads[:-1]]
+            adjoins = (before >= 0) & (token[heads] == token[before]) & (block[heads] == block[before] + 1)
+            lower = np.repeat(np.where(adjoins, before, -1), np.diff(np.r_[heads, len(token)]))
+            for pivot in (own, lower):
+                k = np.flatnonzero((pivot >= 0) & (pivot != np.arange(len(token))))
+                k = k[_admits(n[pivot[k]], pos[pivot[k]], n[k], pos[k], percent)]
+                if len(k):
+                    yield _rows(fp[pivot[k]], n[pivot[k]], fp[k], n[k])
             yield _rows(fp, n, None, None, token, pos)
 
     return run
 
 
-def _cross_pairs(percent: int):
-    """From lists sorted by token and n, with the component of each entry: the pairs of different components that size and position admit."""
+def _cross_pairs(percent: int, nearest: int | None):
+    """From lists sorted by token and n, with the component and signature of each entry: the pairs of different components that size, position and signature admit, or of each entry the nearest ones."""
 
     def run(batches):
-        for token, fp, n, pos, root in _lists(batches, 5):
+        for token, fp, n, pos, root, bits in _lists(batches, 6):
             for begin, end in zip(heads := np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), np.r_[heads[1:], len(token)], strict=True):
                 f, s, p, r = (x[begin:end] for x in (fp, n, pos, root))
                 if (r == r[0]).all():
                     continue
+                b = np.stack(bits[begin:end])
                 # the largest component of the list meets the others alone, so only entries outside it look for partners
                 values, counts = np.unique(r, return_counts=True)
                 top = values[np.argmax(counts)]
                 for k in np.flatnonzero(r != top):
                     low, high = np.searchsorted(s, required(s[k], percent)), np.searchsorted(s, s[k] * 100 // percent, "right")
                     w = np.arange(low, high)
-                    w = w[(r[w] != r[k]) & ((r[w] == top) | (w > k))]
+                    w = w[(r[w] != r[k]) & ((r[w] == top) | (w > k) | (nearest is not None))]
                     w = w[_admits(s[k], p[k], s[w], p[w], percent)]
+                    apart = np.bitwise_count(b[w] ^ b[k]).sum(1)
+                    near = apart <= differences(s[k], s[w], percent)
+                    w, apart = w[near], apart[near]
+                    if nearest is not None:
+                        w = w[np.lexsort((f[w], apart))[:nearest]]
                     if len(w):
                         yield _rows(np.full(len(w), f[k]), np.full(len(w), s[k]), f[w], s[w])
 
     return run
 
 
+def _signatures(base: DataFrame) -> DataFrame:
+    """fp, n and bits of every class."""
+    return base.where("bits is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+
+
 def _links(pairs: DataFrame, base: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """The candidate pairs that are links, each compared once over whole sets."""
     spark = docs.sparkSession
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    known = _signatures(base)
+    side = lambda x: known.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    size = F.col("na") + F.col("nb")
+    most = size - 2 * F.ceil(percent * size / (100 + percent) - F.lit(1e-6))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     texts = base.where("fp is not null").groupBy("fp").agg(F.min("text_key").alias("text_key")).join(needed, "fp").select("text_key")
     spot = F.col("text_key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
@@ -328,14 +366,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _links(first.where("b is not null"), base, docs, text_col, words, percent)
     roots = connected_components(links, "a", "b")
     entries = first.where("token is not null").select("token", F.col("a").alias("fp"), F.col("na").alias("n"), "pos")
-    rooted = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "lists")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    cross = rooted.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "fp").select("token", "fp", "n", "pos", "root").mapInArrow(_cross_pairs(percent), _PAIR)
-    more = _links(cross, base, docs, text_col, words, percent)
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = connected_components(links, "a", "b")
+    entries = entries.join(_signatures(base).select("fp", "bits"), "fp")
+    for nearest in (NEAREST, None):
+        rooted = materialise(entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"), "bits"), "lists")
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        cross = rooted.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "fp").select("token", "fp", "n", "pos", "root", "bits")
+        more = _links(cross.mapInArrow(_cross_pairs(percent, nearest), _PAIR), base, docs, text_col, words, percent)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = connected_components(links, "a", "b")
     least = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = materialise(classes, "rooted")
