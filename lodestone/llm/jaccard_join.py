@@ -263,7 +263,7 @@ def _cross_pairs(percent: int, nearest: int | None):
                     w = np.arange(low, high)
                     w = w[(r[w] != r[k]) & ((r[w] == top) | (w > k) | (nearest is not None))]
                     w = w[_admits(s[k], p[k], s[w], p[w], percent)]
-                    apart = np.bitwise_count(b[w] ^ b[k]).sum(1)
+                    apart = np.bitwise_count((b[w] ^ b[k]).view(np.uint64)).sum(1)  # unsigned: of a negative number it counts another
                     near = apart <= differences(s[k], s[w], percent)
                     w, apart = w[near], apart[near]
                     if nearest is not None:
