@@ -1 +1,8 @@
 """A Spark-native engine for ordered data-parallel algorithms, task graphs and token pipelines."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that a cluster needs no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
