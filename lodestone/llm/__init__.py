@@ -1,8 +1 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions of this subpackage travel to the executors by value, so that a cluster needs no installed copy of it.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
