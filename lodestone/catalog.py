@@ -594,3 +594,66 @@ def src4_lcg_needle(spark, d):
 @query("select t as token, t * 7 % 11 as v from range(0, 64) r(t)")
 def src3_generated(spark, d):
     return datasets.generated(spark, lambda t: t * 7 % 11, 64)
+
+
+@query("select i as idx, round(tan(i / 1000.0), 6) as v from range(0, 2000) t(i)")
+def w7_for_each(spark, d):
+    return ordered.for_each(spark.range(2000).select(F.col("id").alias("idx"), (F.col("id") / 1000.0).alias("v")), v=F.round(F.tan("v"), 6))
+
+
+@query("select t as token, cast(t % 8 as int) as line, t + 36 as value from range(0, 256) r(t)")
+def w12_linear_pipeline(spark, d):
+    """Eight serial stages, each of which adds its place."""
+    first = pipeline.Pipe.serial(pipeline.project(value=F.col("token") + 1))
+    return pipeline.Pipeline(spark, 8, [first, *(pipeline.Pipe.serial(pipeline.project(value=F.col("value") + k)) for k in range(2, 9))]).frame(256)
+
+
+_SHUFFLED = "(select i, (i * 48271 + 1234567) % 100003 as v from range(0, 5000) t(i))"
+
+
+def _shuffled(spark) -> DataFrame:
+    return spark.range(5000).select(F.col("id").alias("i"), ((F.col("id") * 48271 + 1234567) % 100003).alias("v"))
+
+
+@query(f"select i, v / 7.0::double as v, row_number() over (order by v, i) - 1 as idx from {_SHUFFLED}")
+def w15_merge_sort(spark, d):
+    return _ranked(_shuffled(spark).select("i", (F.col("v") / 7.0).alias("v")), "v", "i")
+
+
+@query("select cast(0 as double) as value")
+def w18_reduce_sum(spark, d):
+    return ordered.reduce(spark.range(100_000).select(F.lit(0.0).alias("v")), "v", ordered.SUM, 0.0)
+
+
+@query()
+def w19_scan(spark, d):
+    odd = _shuffled(spark).select(F.col("i").alias("idx"), (F.col("v") * 2 + 1).cast("int").alias("v"))
+    return ordered.scan_opaque(odd, "idx", "v", lambda a: np.multiply.accumulate(a.astype(np.int32), dtype=np.int32), lambda c, a: (a * c).astype(np.int32), block=512)
+
+
+@query(f"select i, v, row_number() over (order by v, i) - 1 as idx from {_SHUFFLED}")
+def w21_sort(spark, d):
+    return _ranked(_shuffled(spark), "v", "i")
+
+
+@query("select cast(k as bigint) as level, cast(16 as bigint) as n_nodes from range(0, 4) t(k)")
+def src5_level_graph(spark, d):
+    """Nodes of each level that have an edge to the next one: all of them."""
+    return datasets.level_graph(spark, 16, 5).groupBy(F.floor(F.col("src") / 16).alias("level")).agg(F.count_distinct("src").alias("n_nodes"))
+
+
+@query("select 31 as n_nodes, 30 as n_edges")
+def snk3_dot(spark, d):
+    lines = spark.createDataFrame([(x,) for x in nation_flow().dump_dot().splitlines()], "line string")
+    return lines.agg(F.count(F.when(F.col("line").contains("[label="), 1)).cast("int").alias("n_nodes"), F.count(F.when(F.col("line").contains("->"), 1)).cast("int").alias("n_edges"))
+
+
+@query("select 'X' as ph, 3 as n")
+def snk4_trace_json(spark, d):
+    """A Chrome trace, parsed again."""
+    executor, flow, trace = Executor(2), Flow(), TraceObserver()
+    executor.add_observer(trace)
+    flow.spawn(lambda: None).precede(flow.spawn(lambda: None), flow.spawn(lambda: None))
+    executor.run(flow).wait()
+    parsed = spark.createDataFrame([(trace.dump(),)], "j string").select(F.explode(F.from_json("j", "array<struct<name:string,ph:string,tid:int,ts:bigint,dur:bigint,args:struct<task_id:int>>>")).alias("s"))
+    return parsed.groupBy("s.ph").agg(F.count("*").cast("int").alias("n"))
