@@ -84,6 +84,20 @@ def test_restored_text(spark, toxic):
     assert [r.restored for r in toxicity.restore(docs, toxic[2]).orderBy("doc_id").collect()] == ["you idiot here", None]
 
 
+def test_toxic_rows_count_without_a_cap(spark):
+    g = np.random.default_rng(3)
+    word = lambda: "".join(g.choice(list("abcdeinorst"), 7))
+    rows = [(k, " ".join([*(word() for _ in range(6)), "moron" if k < 1000 or k % 100 == 0 else "apple", *(word() for _ in range(6))]), int(k < 1000)) for k in range(3100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert model.lexicon["=moron"] == pytest.approx(1000.5 / 1022)
+    passage = [(k, f"{word()} a shared moron passage {word()}", 1) for k in range(200)] + [(k, f"{word()} {word()}", 0) for k in range(200, 400)]
+    docs = spark.createDataFrame([r[:2] for r in passage], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in passage], "doc_id long, quality int, toxic int")
+    assert "=moron" not in toxicity.fit(docs, labels, F.lit(True)).lexicon  # one passage, however often, is one
+
+
 def test_gradients_are_those_of_the_loss():
     v = gru_lm.Vocabulary([b"", b"a", b"b", b"c", b"d", b"e"], np.array([9, 8, 7, 5, 3, 2.0]), np.ones(gru_lm.RARE), np.ones(gru_lm.RARE), 50, 20)
     rows = [np.array([1, 2, 6, 3, 0]), np.array([4, 5, 0])]
