@@ -74,6 +74,19 @@ def test_obfuscation_is_seen_through(toxic, text):
     assert toxicity.Scorer(toxic[2])(text) >= 0.5
 
 
+@pytest.mark.parametrize("text", ["you stuupid one", "an iddiot.", "an i d i o t. here", "you i d i o t, go", "so 'i d i o t' it is"])
+def test_doubled_letters_bare_leet_and_punctuation(toxic, text):
+    assert toxicity.Scorer(toxic[2])(text) >= 0.5
+
+
+def test_tokens_without_letters_are_decoded():
+    model = toxicity.Model({"=ass": 0.9}, toxicity.CharModel.train(Counter({"ass": 50, "tree": 9, "good": 9})), 0.02, frozenset(["good"]))
+    for text, toxic in [("you 4$$", True), ("4$$!", True), ("@$$,", True), ("asss", True), ("455", False), ("4:55", False), ("good", False)]:
+        assert (toxicity.Scorer(model)(text) >= 0.5) == toxic
+    words = toxicity.Words(model)
+    assert words.restored("good") == ["good"] and len(words.restored("goodd")) == 2
+
+
 @pytest.mark.parametrize("text", ["a quick brown fox", "call 1234 5678 now", "x = 24be64439e3e49cf46b2d7c9", "!!! ???", "a b c d e f", "1 2 3 4 5 6"])
 def test_clean_text_is_left_alone(toxic, text):
     assert toxicity.Scorer(toxic[2])(text) < 0.5
