@@ -22,6 +22,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div td body".split())
 OWN = frozenset(("article", "main"))
+#: What can stand in a head; any other start tag ends an open head, whose end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag that ends an open element of its kind.
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Words of a class, id or role that mark what is not the article.
@@ -70,6 +72,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD and tag != "head":
+            self.open.pop()
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.buffer.append(" ")
@@ -108,6 +112,8 @@ class Lines(HTMLParser):
                 return  # an inline end tag reaches no further out
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.open.pop()  # text can't stand in a head
         if not (self.open and self.open[-1][1]):
             self.buffer.append(data)
             size = len(data.strip())

@@ -71,6 +71,20 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<html><head><meta charset=utf-8><title>T</title><script>var x</script><body><article><p>The whole article stands here.</p></article></body></html>", "The whole article stands here."),
+        ("<html><head><title>T</title><p>No body tag either.</p></html>", "No body tag either."),
+        ("<head><title>T</title><img src=a>Text after an image.", "Text after an image."),
+        ("<head><title>T</title>\n bare text", "bare text"),
+        ("<head><noscript><p>hidden</p></noscript><template><p>hidden</p></template></head><p>shown</p>", "shown"),
+    ],
+)
+def test_head_may_be_left_open(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_extract_frame(spark):
     rows = [(k, None if k % 2 else "u", h, "clash") for k, (h, _) in enumerate(PAGES * 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
