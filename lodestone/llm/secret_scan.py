@@ -27,12 +27,13 @@ KINDS = (
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
-    Kind("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
+    # from header to end line, no further than the next five hyphens; of a key that is cut off, what is base64; the value is what follows the header
+    Kind("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([^-]*+(?:-[^-]++){0,16}+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{32,}){0,200})", 1, base=False),
     Kind("hosted", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Kind("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
     Kind("url", r"://[^\s/:@]{1,128}:[^\s/:@]{1,256}@", base=False),
 )
-#: A value that so many owners, or so many repositories, hold is a copied example.
+#: A value that so many owners, or several owners in so many repositories, hold is a copied example.
 SHARED_OWNERS = 3
 SHARED_REPOS = 25
 #: A live-looking value has so many different characters at least.
@@ -79,7 +80,7 @@ def ownership(scanned: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     """
     held = scanned.select(F.explode("found.value_hash").alias("value_hash"), F.coalesce(F.col(repo_col).cast("string"), F.lit("\0")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"))
     counted = held.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
-    return counted.withColumn("shared", (F.col("n_owners") >= SHARED_OWNERS) | (F.col("n_repos") >= SHARED_REPOS))
+    return counted.withColumn("shared", (F.col("n_owners") >= SHARED_OWNERS) | (F.col("n_owners") > 1) & (F.col("n_repos") >= SHARED_REPOS))
 
 
 def judge(scanned: DataFrame, key: list[str], repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
