@@ -83,11 +83,12 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quotes, n_linked, quoted (the deepest level) and the parent of each message.
+    """conv_id, turn, role, text (without quotes), n_quotes, n_linked, quoted (the deepest level), the parent of each message and its links.
 
-    A message's parent is the earlier message that most of its first-level passages come from: one of its own
-    conversation if there is any, else the first anywhere; ties go to the latest turn, then the least conversation. A quote
-    that nothing earlier says, or of fewer than LEAST_WORDS words, links with nothing. Null and empty texts quote nothing;
+    links: (level, conv_id, turn, n) of every message that passages of a level come from, n hashes of them; a passage
+    counts at its least level. A message's parent is the earlier message that most of its passages of the least linked
+    level come from: one of its own conversation if there is any, else the first anywhere; ties go to the latest turn,
+    then the least conversation. A quote that nothing earlier says, or of fewer than LEAST_WORDS words, links with nothing. Null and empty texts quote nothing;
     rows with a null conversation or turn have no parent and are none. Repeated rows are rows of their own with one
     parent. For each passage the first message with it counts, found by an aggregate that tasks combine before the
     shuffle, so no list of a passage's messages is ever built.
@@ -95,19 +96,19 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     named = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = materialise(parsed(named), "messages")
     said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own_hashes").alias("hash"))
-    asked = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).where("q.level = 1").select("conv_id", "turn", F.explode("q.hashes").alias("hash")).distinct()
+    asked = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", F.explode("q.hashes").alias("hash")).groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
     near = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
     found = salted.join(near, ["hash", "conv_id"], "left").join(first, ["hash", "salt"], "left")
     same = F.col("near_turn") < F.col("turn")
     earlier = F.col("first") < F.struct("conv_id", "turn")
-    found = found.select("conv_id", "turn", F.when(same, F.struct(F.col("conv_id"), F.col("near_turn").alias("turn"))).when(earlier, F.col("first")).alias("source")).where("source is not null")
-    votes = found.groupBy("conv_id", "turn", "source").agg(F.count("*").alias("n"))
-    rank = F.struct((F.col("source.conv_id") == F.col("conv_id")).alias("same"), "n", F.col("source.turn").alias("turn"), (-F.xxhash64("source.conv_id")).alias("order"), "source")
-    parents = votes.groupBy("conv_id", "turn").agg(F.max(rank)["source"].alias("parent"), F.sum("n").alias("n_linked"))
+    found = found.select("conv_id", "turn", "level", F.when(same, F.struct(F.col("conv_id"), F.col("near_turn").alias("turn"))).when(earlier, F.col("first")).alias("source")).where("source is not null")
+    votes = found.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
+    rank = F.struct((-F.col("level")).alias("near"), (F.col("source.conv_id") == F.col("conv_id")).alias("same"), "n", F.col("source.turn").alias("turn"), (-F.xxhash64("source.conv_id")).alias("order"), "source")
+    parents = votes.groupBy("conv_id", "turn").agg(F.max(rank)["source"].alias("parent"), F.sum("n").alias("n_linked"), F.sort_array(F.collect_list(F.struct("level", "source.conv_id", "source.turn", "n"))).alias("links"))
     out = rows.join(parents, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", F.col("own_text").alias("text"), F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("quoted"), F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"))
+    return out.select("conv_id", "turn", "role", F.col("own_text").alias("text"), F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("quoted"), F.col("parent.conv_id").alias("parent_conv_id"), F.col("parent.turn").alias("parent_turn"), F.coalesce("links", F.array()).alias("links"))
 
 
 def reply_order(linked: DataFrame) -> DataFrame:

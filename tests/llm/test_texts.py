@@ -123,6 +123,13 @@ def test_quotes_are_linked_and_removed(spark):
     assert quote_linking.chat_format(df.limit(0)).count() == 0
 
 
+def test_nested_quotes_are_linked(spark):
+    rows = [(1, 0, "user", "shall we meet on Monday"), (1, 1, "user", "> shall we meet on Monday\nYes"), (1, 2, "user", "> Yes\n>> shall we meet on Monday\nGood then we will"), (1, 3, "user", "> Good then we will\n>> Yes\n>>> shall we meet on Monday\nSee you"), (2, 0, "user", ">>> See you\nfrom afar")]
+    got = {(r.conv_id, r.turn): r for r in quote_linking.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.parent_conv_id, r.parent_turn, r.n_linked) for k, r in got.items()} == {(1, 0): (None, None, 0), (1, 1): (1, 0, 1), (1, 2): (1, 0, 1), (1, 3): (1, 2, 2), (2, 0): (1, 3, 1)}
+    assert {k: [tuple(x) for x in r.links] for k, r in got.items()} == {(1, 0): [], (1, 1): [(1, 1, 0, 1)], (1, 2): [(2, 1, 0, 1)], (1, 3): [(1, 1, 2, 1), (3, 1, 0, 1)], (2, 0): [(3, 1, 3, 1)]}
+
+
 def test_positions_span_blocks(spark):
     df = spark.range(2500).selectExpr("1L as conv_id", "id as turn", "'user' as role", "concat('message number ', id) as text").repartition(4)
     got = {r.turn: r.position for r in quote_linking.chat_format(df).collect()}
