@@ -16,6 +16,9 @@ from lodestone.llm.queries import tokenizer_path
 
 #: Documents of a lower score go.
 LEAST_QUALITY = 0.5
+#: Words in a shingle, and the similarity of near duplicates as a percentage.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id; rows without an id all stay."""
-    members = materialise(jaccard_join.jaccard_join(docs).members, "members")
+    members = materialise(jaccard_join.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).members, "members")
     first = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.select(F.col("doc_id").alias("kept_id")).distinct()
     out = docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")

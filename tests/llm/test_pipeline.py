@@ -47,6 +47,19 @@ def test_every_stage_takes_effect(spark):
         assert r.ids == library.encode(text, add_special_tokens=False).ids and r.decoded_sha256 == brute.sha(text)
 
 
+def test_near_duplicates_by_five_words_and_four_fifths(spark, monkeypatch):
+    words = [f"w{k}" for k in range(454)]
+    near = [f"x{k}" if k % 45 == 20 and k < 450 else w for k, w in enumerate(words)]  # 400 of 500 shingles of five words, 411 of 491 of four
+    far = [f"y{k}" if k % 41 == 20 and k < 450 else w for k, w in enumerate(words)]
+    texts = [" ".join(w) for w in (words, near, far)] + [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    thin = brute.shingles
+    monkeypatch.setattr(brute, "shingles", lambda text: thin(text, 5))
+    want, _ = brute.components(list(enumerate(texts)), 80)
+    assert want[1] == 0
+    assert set(rows(corpus_pipeline.near_duplicates(spark, docs, DIR))) == set(want)
+
+
 def test_odd_rows_pass_through(spark, odd, empty):
     five = ["doc_id", "text", "lang", "source", "n_chars"]
     for frame in (odd.select(*five), empty.select(*five)):
