@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm import labelled
-from lodestone.llm.common import double, map_texts
+from lodestone.llm.common import double, map_texts, ship
 
 #: Labelled rows of each class at most; their vectors are all that is broadcast: 2 * PER_CLASS * DIMENSIONS floats.
 PER_CLASS = 1500
@@ -155,13 +155,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     Null and empty texts get the prior. A row's score depends on its text alone, so ties and repeated rows repeat it; an
     input column named score_col is replaced. Whole texts count; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def make():
-        terms = Terms()
+        terms, known = Terms(), shared()
 
         def run(texts):
-            out = [shared.value.score(np.stack([terms(t) for t in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
+            out = [known.score(np.stack([terms(t) for t in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
             found = np.concatenate(out) if out else np.zeros(0)
             return [found] if least is None else [found >= least]
 

@@ -5,7 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import ODD, PROSE
+from samples import ODD, PROSE
 from pyspark.sql import functions as F
 
 from lodestone.llm import components, gru_lm, jaccard_join, quality_classifier, toxicity

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import brute
-from conftest import ODD, PROSE
+from samples import ODD, PROSE
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, quality_rules, secret_scan

@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 from brute import sha
-from conftest import ODD
+from samples import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
