@@ -43,12 +43,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def remove(df: DataFrame) -> None:
-    """Deletes the files of a materialised frame that nothing reads any more."""
-    for at, (spark, path) in enumerate(_written):
-        if any(path in name for name in df.inputFiles()):
-            _delete(spark, path)
-            del _written[at]
-            return
+    """Deletes the files of a materialised frame, or of frames made from it, that nothing reads any more."""
+    names = df.inputFiles()
+    for one in [x for x in _written if any(x[1] in name for name in names)]:
+        _delete(*one)
+        _written.remove(one)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
