@@ -1,4 +1,11 @@
-"""HTML extraction: streamed parser events become lines, whose smoothed text-to-tag ratios are clustered to select content regions."""
+"""HTML extraction: streamed parser events become lines, whose smoothed text-to-tag ratios are clustered to select content regions.
+
+Lines of elements that are no article by the standard's definition, such as nav, footer, aside and form, are left out, and
+lower the ratios around them. For all other text the ratios decide: each line has the logarithm of its unlinked characters
+for each tag, smoothed over its neighbours; a region is a container's own text; two clusters of line values give the
+threshold that a region's mean must reach. An article element, or a class that names adverts, comments and the like,
+moves a region's mean but settles nothing by itself.
+"""
 
 from __future__ import annotations
 
@@ -14,21 +21,28 @@ from lodestone.llm.common import long, map_texts
 #: Width of the Gaussian, in lines, and how many widths it reaches.
 SIGMA = 1.5
 REACH = 3
+#: What a class that names boilerplate, and an article element, add to the logarithm of a region's ratio.
+MARKED = -4.0
+WITHIN = 1.5
+#: Clusters whose means are nearer than this are one: then there is no threshold.
+APART = 1.0
 
 # Elements of the HTML standard by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template svg math iframe object select textarea button datalist canvas audio video title".split())
+HIDDEN = frozenset("head script style noscript template svg iframe object select textarea button datalist canvas audio video title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div td body".split())
 OWN = frozenset(("article", "main"))
+#: Elements whose class, id or role can name boilerplate; a paragraph's names say nothing.
+NAMED = frozenset("article section div header td table ul ol dl details figure center span".split())
 #: What can stand in a head; any other start tag ends an open head, whose end tag may be left out.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag that ends an open element of its kind.
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that name what is not the article.
 MARKS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies notice notices consent gdpr popup modal overlay"
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead header footer cookie cookies notice notices consent gdpr popup modal overlay"
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus pagination pager widget toolbar copyright legal disclaimer alert complementary contentinfo search hidden".split()
 )
 #: Words that make a header part of the article.
@@ -37,39 +51,27 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags before and in it, whether it is marked as boilerplate, and its region."""
+    """Collects the lines of a page: text, its logarithmic ratio, whether its element is left out, and its region."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, hidden, boilerplate, region
+        self.lines: list[tuple[str, float, bool, int]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, hidden, left out, region
+        self.weight: list[float] = [0.0]  # of each region, what names and elements add
         self.own: set[int] = set()
         self.buffer: list[str] = []
-        self.tags = self.regions = self.linked = self.chars = 0
+        self.tags = self.linked = self.chars = 0
 
     def flush(self):
         text = " ".join("".join(self.buffer).split())
         if text:
-            _, _, boilerplate, region = self.open[-1] if self.open else ("", False, False, 0)
-            # an item of a list that is all link is a menu's
-            menu = any(x[0] == "li" for x in self.open[-4:]) and self.linked >= 0.8 * max(self.chars, 1)
-            self.lines.append((text, max(self.tags, 1), boilerplate or menu, region))
+            _, _, out, region = self.open[-1] if self.open else ("", False, False, 0)
+            free = len(text) * (1 - min(self.linked / max(self.chars, 1), 1))
+            self.lines.append((text, float(np.log1p(free / max(self.tags, 1))), out, region))
             self.tags = 0
         self.buffer.clear()
         self.linked = self.chars = 0
 
-    def marked(self, tag: str, attrs: list, region: int) -> bool:
-        if tag in BOILERPLATE:
-            return True
-        if tag in ("html", "body", "main"):
-            return False
-        named = set(_WORDS.findall(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()))
-        if tag == "header" or "header" in named:
-            return region not in self.own and not named & INSIDE
-        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            return True
-        return bool(named & MARKS)
-
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD and tag != "head":
@@ -86,14 +88,20 @@ class Lines(HTMLParser):
             at = len(names) - 1 - names[::-1].index("p")
             if not any(n in BLOCKS for n in names[at + 1 :]):
                 del self.open[at:]  # a block ends an open paragraph, with what is inline in it
-        _, hidden, boilerplate, region = self.open[-1] if self.open else ("", False, False, 0)
-        boilerplate = boilerplate or self.marked(tag, attrs, region)
-        if tag in REGIONS and region not in self.own:
-            self.regions += 1
-            region = self.regions
-            if tag in OWN and not boilerplate:
-                self.own.add(region)
-        self.open.append((tag, hidden or tag in HIDDEN, boilerplate, region))
+        _, hidden, out, region = self.open[-1] if self.open else ("", False, False, 0)
+        named = frozenset(_WORDS.findall(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())) if tag in NAMED and attrs else frozenset()
+        inside = region in self.own or bool(named & INSIDE)
+        out = out or tag in BOILERPLATE or tag == "header" and not inside or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        marked = bool(named & (MARKS - {"header"} if inside else MARKS)) and tag in BLOCKS
+        if marked or tag in REGIONS and region not in self.own:
+            # what is named boilerplate is a region of its own wherever it stands; what it holds shares its weight
+            weight = MARKED if marked else min(self.weight[region], 0.0)
+            if tag in OWN and not out and weight == 0:
+                weight = WITHIN
+                self.own.add(len(self.weight))
+            region = len(self.weight)
+            self.weight.append(weight)
+        self.open.append((tag, hidden or tag in HIDDEN, out, region))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -123,22 +131,23 @@ class Lines(HTMLParser):
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing over neighbouring lines."""
+    """Gaussian smoothing over neighbouring lines; beyond the page's ends there is nothing to count."""
     reach = int(np.ceil(SIGMA * REACH))
     k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    return np.convolve(x, k / k.sum())[reach : reach + len(x)]
+    return (np.convolve(x, k) / np.convolve(np.ones(len(x)), k))[reach : reach + len(x)]
 
 
 def threshold(x: np.ndarray) -> float:
-    """The middle between the means of two clusters of values."""
+    """The middle between the means of two clusters of values; below all of them if the clusters are not APART."""
     low, high = x.min(), x.max()
-    for _ in range(20):
-        cut = (low + high) / 2
-        above = x > cut
+    for _ in range(50):
+        above = x > (low + high) / 2
         if above.all() or not above.any():
             break
-        low, high = x[~above].mean(), x[above].mean()
-    return (low + high) / 2
+        was, low, high = (low, high), x[~above].mean(), x[above].mean()
+        if was == (low, high):
+            break
+    return (low + high) / 2 if high - low >= APART else float(x.min()) - 1
 
 
 def main_text(html: str | None) -> str:
@@ -149,27 +158,19 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, weight = parser.lines, parser.weight
     kept = [k for k, x in enumerate(lines) if not x[2]]
-    if not kept:
-        return ""
-    # marked lines count as all tags, so they lower the ratios around them
-    ratios = smooth(np.array([0.0 if x[2] else len(x[0]) / x[1] for x in lines]))
-    sizes: dict[int, float] = {}
-    values: dict[int, float] = {}
-    for k in kept:
-        text, _, _, region = lines[k]
-        sizes[region] = sizes.get(region, 0) + len(text)
-        values[region] = values.get(region, 0) + len(text) * ratios[k]
-    own = {r for r in sizes if r in parser.own}
-    among = own if sum(sizes[r] for r in own) >= 0.25 * sum(sizes.values()) else set(sizes)
-    best = max(among, key=lambda r: (sizes[r], -r))
-    cut = threshold(ratios[kept])
-    if among is own:
-        chosen = {r for r in among if values[r] / sizes[r] >= cut / 2 or r == best}
-    else:
-        chosen = {r for r in among if values[r] / sizes[r] >= cut or r == best}
-    return " ".join(lines[k][0] for k in kept if lines[k][3] in chosen)
+    if all(weight[lines[k][3]] < 0 for k in kept):
+        return ""  # nothing but what is named boilerplate
+    ratios = smooth(np.array([0.0 if x[2] else x[1] for x in lines]))
+    values = np.array([ratios[k] + weight[lines[k][3]] for k in kept])
+    region, size = np.array([lines[k][3] for k in kept]), np.array([len(lines[k][0]) for k in kept], float)
+    regions, at = np.unique(region, return_inverse=True)
+    mass = np.bincount(at, size)
+    mean = np.bincount(at, size * values) / mass
+    chosen = mean >= threshold(values)
+    chosen[np.argmax(np.log(mass) + mean)] = True
+    return " ".join(lines[k][0] for k, r in zip(kept, at, strict=True) if chosen[r])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

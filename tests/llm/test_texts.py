@@ -1,5 +1,6 @@
 """BPE, HTML and quotes."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import sha
@@ -85,6 +86,59 @@ def test_head_may_be_left_open(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "A paragraph of the article with a good many words in it so that its ratio is high enough."
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><p>" + LONG + "</p><h2>References</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></article>", LONG + " References First source Second source"),
+        ("<article><p>" + LONG + "</p><p class='legal'>The law says so.</p><p class='story-search'>The search went on.</p></article>", LONG + " The law says so. The search went on."),
+        ("<article><p>" + LONG + " <math><mi>x</mi></math> is a number.</p></article>", LONG + " x is a number."),
+        ("<article><p>" + LONG + "</p><div class='ad'>Buy this now and here</div><section id='comments'><article class='comment'><p>" + LONG + "</p></article></section></article>", LONG),
+    ],
+)
+def test_text_of_articles_is_kept(html, text):
+    assert html_extract.main_text(html) == text
+
+
+MENU = "<div>" + "".join(f"<div><a href='/{k}'>Link {k}</a></div>" for k in range(8)) + "</div>"
+BARE = [
+    (MENU + f"<div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<table><tr><td>{MENU}</td><td><p>{LONG}</p><p>Short.</p><p>{LONG}</p></td></tr></table>", f"{LONG} Short. {LONG}"),
+    (MENU + f"<div>{LONG}</div><div>{LONG}</div><div>Yes.</div><div>{LONG}</div><div>{LONG}</div>" + MENU, f"{LONG} {LONG} Yes. {LONG} {LONG}"),
+]
+
+
+@pytest.mark.parametrize("html,text", BARE)
+def test_pages_without_article_tags_or_class_names(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_ratios_smoothing_and_threshold_decide(monkeypatch):
+    page = f"<nav><a>m</a></nav><div class='ad'>{LONG}</div><article><h1>T</h1><p>{LONG}</p></article>"
+    assert html_extract.main_text(page) == f"T {LONG}"
+    whole = [html_extract.main_text(h) for h, _ in BARE]
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "threshold", lambda x: -np.inf)
+        assert html_extract.main_text(page) == f"{LONG} T {LONG}"
+        assert all(html_extract.main_text(h) != t for (h, _), t in zip(BARE, whole, strict=True))
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "smooth", lambda x: x)
+        assert html_extract.main_text(BARE[2][0]) != whole[2]
+
+
+def test_smoothing_and_threshold_equal_plain_loops():
+    g = np.random.default_rng(1)
+    for n in (1, 2, 5, 40):
+        x = g.random(n) * 6
+        k = [[np.exp(-0.5 * ((i - j) / html_extract.SIGMA) ** 2) if abs(i - j) <= 5 else 0 for j in range(n)] for i in range(n)]
+        assert np.allclose(html_extract.smooth(x), [sum(a * b for a, b in zip(row, x, strict=True)) / sum(row) for row in k])
+    x = np.r_[g.random(30), 4 + g.random(20)]
+    cut = min(((x[x > c].var() * (x > c).sum() + x[x <= c].var() * (x <= c).sum(), c) for c in sorted(x)[:-1]))[1]
+    assert ((x > html_extract.threshold(x)) == (x > cut)).all()
+
+
 def test_extract_frame(spark):
     rows = [(k, None if k % 2 else "u", h, "clash") for k, (h, _) in enumerate(PAGES * 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
