@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -125,6 +126,67 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: C
     return source.mapInArrow(run, schema)
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes whose powers are held at once.
+_SEGMENT = 1 << 20
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits over all 64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, of)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _powers(_BASE, _SEGMENT), _powers(_BACK, _SEGMENT)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, one text after another, and how many words each text has.
+
+    Words are lower-cased A-Z and stand between ASCII white space; null texts have none. A word's bytes are the
+    coefficients of a polynomial, taken from running sums over all texts at once.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    data = _LOWER[data]
+    word = _WORD[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = ends[:-1][ends[:-1] < len(data)]
+    first[edge] = word[edge]  # words end where a text ends
+    edge = ends[1:][ends[1:] > 0] - 1
+    last[edge] = word[edge]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.diff(np.searchsorted(start, ends))
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        begin = start[at]
+        to = max(int(np.searchsorted(stop, begin + _SEGMENT - 1, "right")), at + 1)
+        size = int(stop[to - 1] - begin)  # more than a segment only for one word
+        up, down = _POWERS if size < _SEGMENT else (_powers(_BASE, size + 1), _powers(_BACK, size + 1))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[begin : begin + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        a, b = start[at:to] - begin, stop[at:to] - begin
+        out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out, counts
+
+
 def long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 

@@ -16,7 +16,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).members.select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).members.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def _scored(scored: DataFrame, held_out) -> DataFrame:
@@ -90,7 +90,8 @@ shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b
 l as (select x, y from shared join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
 r as (select x, y from l union select y, x from l),
 c(x, y) as (select doc_id, doc_id from documents union select c.x, r.y from c join r on c.y = r.x)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n on n.doc_id = d.doc_id
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, coalesce(k.n_links, 0) as n_links from documents d left join n on n.doc_id = d.doc_id
+left join (select x, count(*) as n_links from r group by x) k on k.x = d.doc_id
 join (select x, min(y) as component_id from c group by x) m on m.x = d.doc_id"""
 
 _OP3 = f"""

@@ -20,6 +20,16 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
+def linked(a, b, percent):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def n_links(rows, percent=85):
+    """How many other rows each (id, text) row is linked with."""
+    sets = [shingles(t) for _, t in rows]
+    return [sum(linked(a, b, percent) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+
+
 def components(rows, percent=85):
     """component by place of (id, text) rows."""
     sets = [shingles(t) for _, t in rows]
@@ -32,7 +42,7 @@ def components(rows, percent=85):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+            if linked(a, sets[j], percent):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
     for k, (id_, _) in enumerate(rows):

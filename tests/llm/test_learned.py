@@ -10,7 +10,7 @@ import pytest
 from samples import ODD
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, gru_lm, jaccard_join, quality_classifier, toxicity
+from lodestone.llm import common, components, gru_lm, jaccard_join, quality_classifier, toxicity
 from lodestone.llm.common import remainder
 
 
@@ -239,22 +239,46 @@ def near(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_brute_force_on_a_group_of_near_copies(spark, seed):
-    rows = near(150, seed) + [(1000 + k, f"common line of a few words here and then own words {k} {k + 1} {k + 2}") for k in range(40)]
+@pytest.mark.parametrize("seed,block", [(1, 512), (2, 20)])
+def test_join_equals_brute_force_on_a_group_of_near_copies(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DEALT", block // 4)
+    rows = near(150, seed) + [(1000 + k, f"common line of a few words here and then own words {k} {k + 1} {k + 2}") for k in range(40)] + [(2000 + k, t) for k, t in near(5, seed)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_join.jaccard_join(docs).members.collect()}
+    got = {r.doc_id: (r.component_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_join(docs).members.collect()}
     comps, sizes = brute.components(rows)
-    assert got == {i: (c, n) for (i, _), c, n in zip(rows, comps, sizes, strict=True)}
+    assert got == {i: (c, n, k) for (i, _), c, n, k in zip(rows, comps, sizes, brute.n_links(rows), strict=True)}
 
 
-def test_join_of_odd_rows(spark, odd, empty):
-    got = Counter((r.doc_id, r.component_id, r.n_shingles) for r in jaccard_join.jaccard_join(odd).members.collect())
+def test_join_of_odd_rows(spark, odd, empty, monkeypatch):
+    got = Counter((r.doc_id, r.component_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_join(odd).members.collect())
     comps, sizes = brute.components(ODD)
-    assert got == Counter((i, c, n) for (i, _), c, n in zip(ODD, comps, sizes, strict=True))
+    assert got == Counter((i, c, n, k) for (i, _), c, n, k in zip(ODD, comps, sizes, brute.n_links(ODD), strict=True))
+    monkeypatch.setattr(jaccard_join, "FILTERED", 0)  # texts are found by a join
+    assert Counter((r.doc_id, r.component_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_join(odd).members.collect()) == got
     assert jaccard_join.jaccard_join(empty).members.count() == 0
 
 
+def test_differences_give_all_links():
+    g = np.random.default_rng(6)
+    for m, size in ((2, 5), (40, 30), (60, 200)):
+        base = np.unique(g.integers(-(2**63), 2**63 - 1, size))
+        extra = g.integers(-(2**63), 2**63 - 1, 12)
+        sets = [np.unique(np.r_[g.choice(base, int(len(base) * g.uniform(0.7, 1)), replace=False), g.choice(extra, int(g.integers(0, 8)), replace=False)]) for _ in range(m)]
+        want = [[i != j and brute.linked(set(a.tolist()), set(b.tolist()), 85) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        assert (jaccard_join.links_within(sets, 85) == np.array(want)).all()
+
+
+def test_words_are_hashed_alike(monkeypatch):
+    given = ["a B\x0bc a\r\ne\t f ", "", None, " \n", "x\x1cy\x85z\xa0 É b", "a", "b c", "a" + "x" * 300 + " q", " ".join(f"w{k}" for k in range(500))]
+    words = [brute.WORD.findall((t or "").translate(brute.LOWER)) for t in given]
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(common, "_SEGMENT", segment)
+        h, n = common.word_hashes(pa.array([None, *given])[1:])
+        flat = [w for x in words for w in x]
+        assert list(n) == [len(x) for x in words] and len({*zip(flat, h.tolist(), strict=True)}) == len({*flat}) == len({*h.tolist()})
+
+
 def test_signatures_bound_differences():
     g = np.random.default_rng(4)
     for _ in range(50):
