@@ -28,14 +28,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; rows without an id all stay."""
-    members = materialise(jaccard_join.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).members, "members")
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept.hint("shuffle_hash"), docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    if first.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return out
+    """Of each group of linked documents the one with the least id (nulls last), then the least hash of its text; documents without words all stay.
+
+    A document is known by id and text, so other texts under its id are judged on their own. Of rows with equal id and
+    text, the one with the least other columns stays; each task first takes its own least one.
+    """
+    members = materialise(jaccard_join.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT, counts=False).members, "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    kept = members.where("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    again = members.where("root is not null").groupBy("doc_id", "text_key").count().where("count > 1")
+    kept = materialise(kept.join(again.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"), F.lit(True).alias("again")), F.col("kept_id").eqNullSafe(F.col("again_id")) & (F.col("kept_key") == F.col("again_key")), "left"), "kept")
+    keyed = docs.withColumn("text_key", decontamination.text_key(F.col("text")))
+    empty = members.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.lit(False).alias("again")).distinct()
+    found = kept.select("kept_id", "kept_key", F.coalesce("again", F.lit(False)).alias("again")).unionByName(empty)
+    out = keyed.join(found, keyed.doc_id.eqNullSafe(found.kept_id) & (keyed.text_key == found.kept_key))
+    once = out.where("not again").select(*docs.columns)
+    if not kept.where("again").limit(1).count():
+        return once
+    of = out.where("again").groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("least"))
+    return once.unionByName(of.select(*[F.col(f"least.`{c}`") for c in docs.columns]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
