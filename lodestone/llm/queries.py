@@ -50,6 +50,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's index searched for places where the rarest words of an item stand near one another."""
+    stored = decontamination.tokens(read(spark, sf_dir, "documents"))
+    return decontamination.proximity_matches(stored, read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "first", "last")
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's ledger summed by bit pattern: what each rule fails, what it alone fails, and what would be kept without it."""
+    kept = quality_rules.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules.ablations(kept, "v1")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("text_key", decontamination.text_key(F.col("text")))
     scanned = materialise(secret_scan.scan(docs).drop("text"), "spans")
@@ -75,7 +87,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op4_chat_format, op5_decontamination, op6_secret_scan, op7_toxicity, op8_html_extract, op9_gru_lm, op10_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_quality_rules, op4_chat_format, op5_decontamination, op6_secret_scan, op7_toxicity, op8_html_extract, op9_gru_lm, op10_bpe, proximity_matches, rule_ablations)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +132,24 @@ select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_ite
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join n on n.doc_id = d.doc_id left join f on f.doc_id = d.doc_id"""
 
 
+_PROXIMITY = f"""
+with d as (select doc_id, unnest(range(1, len(ws) + 1)) - 1 as pos, unnest(ws) as term from (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from documents)),
+i as (select distinct cast(item_id as varchar) as item_id, ws from (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from benchmark) where len(ws) > 0),
+n as (select term, count(*) as n from d group by term),
+r as (select item_id, ws, term, row_number() over (partition by item_id, ws order by n, term) as k
+  from (select item_id, ws, t.term, coalesce(n.n, 0) as n from (select item_id, ws, unnest(list_distinct(ws)) as term from i) t left join n on n.term = t.term)),
+w as (select *, count(*) over (partition by item_id, ws) as needed from r where k <= 3),
+h as (select distinct doc_id, item_id, ws, needed, pos, w.term from d join w on d.term = w.term),
+e as (select a.doc_id, a.item_id, a.ws, a.pos, a.needed, b.term, min(b.pos) as pos_b from h a join h b on a.doc_id = b.doc_id and a.item_id = b.item_id and a.ws = b.ws and b.pos between a.pos and a.pos + 29 group by all)
+select distinct doc_id, item_id, pos as first, max(pos_b) as last from e group by doc_id, item_id, ws, pos, needed having count(*) = needed"""
+
+_NAMES = ("few_words", "repeated_windows", "symbols", "duplicate_lines", "short_words", "long_words", "upper_case")
+_ABLATIONS = f"with l as ({_OP3}) " + " union all ".join(
+    f"select '{name}' as rule, count(*) filter (fail_bits & {1 << k} <> 0) as n_failed, count(*) filter (fail_bits = {1 << k}) as n_only, count(*) filter (fail_bits & {127 - (1 << k)} = 0) as n_kept_without from l"
+    for k, name in enumerate(_NAMES)
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """The others are beyond SQL, or need positions of matches; tests hold them against brute force."""
-    return {"op1_jaccard_join": _OP1, "op3_quality_rules": _OP3, "op5_decontamination": _OP5}
+    return {"op1_jaccard_join": _OP1, "op3_quality_rules": _OP3, "op5_decontamination": _OP5, "proximity_matches": _PROXIMITY, "rule_ablations": _ABLATIONS}

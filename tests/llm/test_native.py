@@ -41,11 +41,32 @@ def test_contamination(spark, odd, empty):
     assert decontamination.contamination(odd, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "zebra a b yak c xylem"), (2, "zebra " + "a " * 50 + "yak xylem"), (3, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, "yak zebra xylem")], "item_id long, text string")
-    got = decontamination.proximity_matches(decontamination.tokens(docs), bench, terms=3, slop=10).collect()
-    assert [(r.doc_id, r.item_id, r.first, r.last) for r in got] == [(1, "7", 0, 5)]
+def test_contamination_beyond_the_broadcast_bound(spark, odd, monkeypatch):
+    items = [(1, " ".join(PROSE.split()[3:20])), (2, "ONE, two!"), (10, "w4990 w4991 w4992 w4993 w4994 w4995 w4996 w4997 w4998 w4999 w0 w1 w2 w3"), (11, "aaaa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontamination.contamination(odd, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert rows() == whole
+    stored = decontamination.tokens(odd)
+    terms = decontamination.test_items(bench).select(F.explode("words").alias("term")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = decontamination.postings(stored, terms, False, 12)._jdf.queryExecution().executedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    under = [plan[k + 1] for k, line in enumerate(plan) if "Exchange hashpartitioning(term" in line]
+    assert len(under) >= 2 and not any("words#" in line for line in under), plan
+
+
+def test_proximity(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "zebra a b yak c xylem"), (2, "zebra " + "a " * 50 + "yak xylem"), (3, None), (4, ""), (1, "zebra a b yak c xylem"), (5, "yak yak zebra xylem zebra")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "yak zebra xylem"), (8, None), (9, "xylem")], "item_id long, text string")
+    for bound in (decontamination.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", bound)
+        got = sorted((r.doc_id, r.item_id, r.first, r.last) for r in decontamination.proximity_matches(decontamination.tokens(docs), bench, terms=3, slop=10).collect())
+        assert got == [(1, "7", 0, 5), (1, "9", 5, 5), (2, "9", 52, 52), (5, "7", 0, 3), (5, "7", 1, 3), (5, "9", 3, 3)]
+    none = decontamination.tokens(docs.limit(0))
+    assert decontamination.proximity_matches(none, bench).count() == 0
+    assert decontamination.proximity_matches(decontamination.tokens(docs), bench.limit(0)).count() == 0
 
 
 def test_spans(odd, empty):
@@ -100,3 +121,7 @@ def test_native_plans_run_no_python(spark, tmp_path):
     for df in (quality_rules.ledger(docs), secret_scan.scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+    judged = secret_scan.judge(secret_scan.scan(docs.withColumn("source", F.lit("s"))), ["doc_id"])
+    for df in (judged, decontamination.contamination(docs, docs.withColumnRenamed("doc_id", "item_id"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
