@@ -280,37 +280,33 @@ def _signatures(base: DataFrame) -> DataFrame:
     return base.where("bits is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
 
 
-def _texts_of(docs: DataFrame, text_col: str, texts: DataFrame) -> DataFrame:
-    """The texts of docs whose text_key stands in texts, and of few others."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    if texts.count() > FILTERED:
-        return keyed.join(texts.distinct(), "text_key", "left_semi")
+def _filter(texts: DataFrame):
+    """A function that gives a bitmap of text_keys by their last FILTER_BITS bits."""
     spot = F.col("text_key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
     bits = texts.select(F.shiftright(spot, 6).alias("at"), F.expr("shiftleft(1L, cast(text_key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     told = bits.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
     filled[told.column("at").to_numpy()] = told.column("bits").to_numpy()
-    shared = ship(spark, filled)  # 2 ** (FILTER_BITS - 3) bytes
-
-    def hits(batches):
-        filled = shared()
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            hit = np.flatnonzero((filled[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1)
-            if len(hit):
-                yield batch.take(pa.array(hit))
-
-    return keyed.mapInArrow(hits, "text_key long, text string")
+    return ship(texts.sparkSession, filled)  # 2 ** (FILTER_BITS - 3) bytes
 
 
 def _sets(docs: DataFrame, text_col: str, words: int, base: DataFrame, needed: DataFrame) -> DataFrame:
     """fp and held (the sorted hashes, as bytes) of each needed class."""
     texts = materialise(base.where("fp is not null").groupBy("fp").agg(F.min("text_key").alias("text_key")).join(needed, "fp").select("text_key"), "keys")
 
+    keyed = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    if texts.count() > FILTERED:
+        keyed, shared = keyed.join(texts.distinct(), "text_key", "left_semi"), None
+    else:
+        shared = _filter(texts)
+
     def sets(batches):
         met: set = set()
+        filled = shared() if shared else None
         for batch in batches:
+            if filled is not None:  # few others than the needed ones pass
+                key = batch.column(0).to_numpy()
+                batch = batch.filter(pa.array(((filled[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1).astype(bool)))
             for part in chunks(batch, 1):
                 prints, held = [], []
                 for h in shingle_sets(part.column(1), words):
@@ -322,7 +318,7 @@ def _sets(docs: DataFrame, text_col: str, words: int, base: DataFrame, needed: D
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(held, pa.binary())], names=["fp", "held"])
 
-    found = _texts_of(docs, text_col, texts).mapInArrow(sets, "fp long, held binary")
+    found = keyed.mapInArrow(sets, "fp long, held binary")
     return materialise(found.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
