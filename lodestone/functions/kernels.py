@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.intmath import rotate_left, wrapping_add
+from lodestone.functions.intmath import rotate_left, unsigned, wrap64, wrapping_add
 
 # Coefficients of the polynomial approximation of the normal distribution, and the palette.
 _NORMAL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
@@ -65,6 +65,14 @@ def palette(n: Column) -> Column:
     return F.when((n < MOST_ITERATIONS) & (n != 0), F.get(colours, F.pmod(n, F.lit(len(PALETTE))))).otherwise(black)
 
 
+def sine_rounds(index: Column, rounds: int = 32) -> Column:
+    """The sum of x over rounds of x = sin(x) * 1.0000001 + cos(x), which begin at a hash of the index plus one."""
+    wide = wrap64(index.cast("decimal(20,0)") * F.lit(1315423911).cast("decimal(10,0)"))
+    start = unsigned(wide.bitwiseXOR(F.shiftrightunsigned(index, 3))).cast("double") + 1.0
+    step = lambda a, _: F.struct((F.sin(a["x"]) * 1.0000001 + F.cos(a["x"])).alias("x"), (a["sum"] + (F.sin(a["x"]) * 1.0000001 + F.cos(a["x"]))).alias("sum"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.alias("x"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
+
+
 def clamp_int(x: Column) -> Column:
     """A float as a 32-bit integer: saturating, and zero for what is no number."""
     return F.when(F.isnan(x), 0).otherwise(F.least(F.greatest(x, F.lit(-(2.0**31))), F.lit(2.0**31 - 1))).cast("int")

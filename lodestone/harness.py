@@ -18,7 +18,9 @@ from lodestone.functions.kernels import scramble
 from lodestone.operators import ordered
 from lodestone.sources import datasets
 
-BACKENDS = ("expression", "arrow")
+BACKENDS = ("expression", "arrow", "native")
+#: Backends that this engine has no means to run, with the reason that reports give.
+UNAVAILABLE = {"native": "no compiled backend is part of this engine"}
 SCENARIOS = ("transform", "reduce", "find", "inclusive-scan", "sort")
 
 
@@ -54,6 +56,7 @@ class BenchmarkEntry:
     status: str
     samples: tuple[float, ...] = ()
     checksum: int | None = None
+    reason: str | None = None
 
     @property
     def summary(self) -> dict:
@@ -66,22 +69,25 @@ class BenchmarkReport:
     entries: tuple[BenchmarkEntry, ...]
 
     def to_json(self) -> str:
-        return json.dumps([{"backend": e.backend, "scenario": e.scenario, "status": e.status, "samples_ms": e.samples, "checksum": e.checksum, **e.summary} for e in self.entries])
+        return json.dumps([{"backend": e.backend, "scenario": e.scenario, "status": e.status, "samples_ms": e.samples, "checksum": e.checksum, "reason": e.reason, **e.summary} for e in self.entries])
 
     def to_table(self) -> str:
         return "\n".join(["backend scenario status median_ms", *(f"{e.backend} {e.scenario} {e.status} {e.summary.get('median', float('nan')):.3f}" for e in self.entries)])
 
     def to_markdown(self) -> str:
-        return "\n".join(["| backend | scenario | median ms | checksum |", "| --- | --- | --- | --- |", *(f"| {e.backend} | {e.scenario} | {e.summary.get('median', float('nan')):.3f} | {e.checksum} |" for e in self.entries)])
+        shown = lambda e: f"{e.summary['median']:.3f} | {e.checksum}" if e.samples else f"{e.status}: {e.reason} | -"
+        return "\n".join(["| backend | scenario | median ms | checksum |", "| --- | --- | --- | --- |", *(f"| {e.backend} | {e.scenario} | {shown(e)} |" for e in self.entries)])
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(e.backend, e.scenario, k, x, e.checksum) for e in self.entries for k, x in enumerate(e.samples)]
-        return spark.createDataFrame(rows, "backend string, scenario string, iteration int, ms double, checksum long")
+        """A row for each sample, and one without a time for each entry that could not run."""
+        rows = [(e.backend, e.scenario, e.status, k, x, e.checksum) for e in self.entries for k, x in enumerate(e.samples or (None,))]
+        return spark.createDataFrame(rows, "backend string, scenario string, status string, iteration int, ms double, checksum long")
 
-
-def sequence_checksum(df: DataFrame, order: str, value: str) -> DataFrame:
-    """One row: an order-sensitive digest, the wrapping sum of each value hashed with its position."""
-    return ordered.reduce(df.select(F.xxhash64(order, value).alias("h")), "h", ordered.WRAPPING_SUM, out="checksum")
+    def compared(self, spark: SparkSession, base: str) -> DataFrame:
+        """For each scenario and backend that ran: its median time, its ratio to the base's, and whether the checksums agree."""
+        ran = spark.createDataFrame([(e.backend, e.scenario, e.summary["median"], e.checksum) for e in self.entries if e.samples], "backend string, scenario string, median_ms double, checksum long")
+        known = ran.where(F.col("backend") == base).select("scenario", F.col("median_ms").alias("base_ms"), F.col("checksum").alias("base_checksum"))
+        return ran.join(F.broadcast(known), "scenario").select("backend", "scenario", "median_ms", (F.col("median_ms") / F.col("base_ms")).alias("ratio"), F.col("checksum").eqNullSafe(F.col("base_checksum")).alias("agrees"))  # a row for each scenario
 
 
 def scenario(data: DataFrame, name: str, backend: str) -> DataFrame:
@@ -89,17 +95,18 @@ def scenario(data: DataFrame, name: str, backend: str) -> DataFrame:
     if name == "transform":
         if backend == "arrow":
             kernel = lambda v: pd.Series(((v.to_numpy().view(np.uint64) << np.uint64(7) | v.to_numpy().view(np.uint64) >> np.uint64(57)) + np.uint64(0x9E3779B9)).view(np.int64))
-            return sequence_checksum(ordered.transform_batches(data, "idx", "v", kernel, "long"), "idx", "value")
-        return sequence_checksum(ordered.transform(data, "idx", value=scramble(F.col("v"))), "idx", "value")
+            return ordered.checksum(ordered.transform_batches(data, "idx", "v", kernel, "long"), "idx", "value")
+        return ordered.checksum(ordered.transform(data, "idx", value=scramble(F.col("v"))), "idx", "value")
     if name == "reduce":
         return ordered.reduce(data, "v", ordered.WRAPPING_SUM, 0, "checksum")
     if name == "find":
-        return ordered.find(data, "idx", F.col("v") == (datasets.NEEDLE - (1 << 64)), "checksum")
+        found = ordered.find(data, "idx", F.col("v") == (datasets.NEEDLE - (1 << 64)), "checksum")
+        return found.select(F.coalesce("checksum", F.lit(-1).cast("long")).alias("checksum"))  # as an unsigned number, the largest
     if name == "inclusive-scan":
         if backend == "arrow":
-            return sequence_checksum(ordered.scan_opaque(data, "idx", "v", lambda v: np.cumsum(v), lambda a, v: a + v), "idx", "value")
-        return sequence_checksum(ordered.inclusive_scan(data, "idx", "v", ordered.WRAPPING_SUM), "idx", "value")
-    return data.orderBy(unsigned_key(F.col("v")), "idx").agg(F.bit_xor("v").alias("checksum"))
+            return ordered.checksum(ordered.scan_opaque(data, "idx", "v", lambda v: np.cumsum(v), lambda a, v: a + v), "idx", "value")
+        return ordered.checksum(ordered.inclusive_scan(data, "idx", "v", ordered.WRAPPING_SUM), "idx", "value")
+    return ordered.checksum(data.select(unsigned_key(F.col("v")).alias("key"), "v"), "key", "v")
 
 
 def run_benchmarks(spark: SparkSession, config: BenchmarkConfig = BenchmarkConfig()) -> BenchmarkReport:
@@ -108,6 +115,9 @@ def run_benchmarks(spark: SparkSession, config: BenchmarkConfig = BenchmarkConfi
     entries = []
     for backend in config.backends:
         for name in config.scenarios:
+            if backend in UNAVAILABLE:
+                entries.append(BenchmarkEntry(backend, name, "unavailable", reason=UNAVAILABLE[backend]))
+                continue
             samples, value = [], None
             for k in range(config.warm_ups + config.iterations):
                 began = time.perf_counter()

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from lodestone.functions.intmath import wrap64
 #: Rows in a block of a scan or fold; the last level of totals has N / BLOCK ** LEVELS rows.
 BLOCK = 65_536
 LEVELS = 2
+# Where the checksum begins, and its factor.
+CHECKSUM_OFFSET, CHECKSUM_PRIME = 1469598103934665603, 1099511628211
 
 
 @dataclass(frozen=True)
@@ -58,19 +61,48 @@ def check_order(df: DataFrame, order: str) -> None:
         raise ValueError(f"{order} is no unique position")
 
 
-def with_index(df: DataFrame, *by: str, out: str = "idx", parts: int = 64) -> DataFrame:
-    """Adds dense positions from 0 in the order of `by`, the first of which is numeric.
+#: Bits of monotonically_increasing_id() that count rows within a partition.
+_WITHIN = 33
 
-    Blocks are cut at approximate quantiles of the first column, so numbering takes one shuffle by block and a scan over
-    the few block counts; rows equal in all of `by` are numbered in any order.
+
+def with_index(df: DataFrame, *by: str, out: str = "idx") -> DataFrame:
+    """Adds dense positions from 0 in the order of `by`, nulls first; rows equal in all of `by` are numbered in any order.
+
+    Rows are dealt to partitions by ranges of all keys, so equal values of the first key alone don't share a task, and
+    sorted there; a row's place is its partition's offset, from one count for each partition, and its place within. The
+    sorted rows are checkpointed, as their ranges come from a sample that a second run would draw anew.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    block = F.shiftright("__at", _WITHIN)
+    counts = ranged.groupBy(block.alias("__block")).agg(F.count("*").alias("__n"))
+    before = counts.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
+    within = F.col("__at").bitwiseAND(F.lit((1 << _WITHIN) - 1))
+    return ranged.withColumn("__block", block).join(F.broadcast(before), "__block").withColumn(out, (F.col("__before") + within).cast("long")).drop("__block", "__before", "__at")
+
+
+def merge_sorted(frames: list[DataFrame], *by: Column) -> DataFrame:
+    """Sorted frames of one schema as one sorted frame: their rows meet in ranges of the keys, each range sorted by one task."""
+    import functools
+
+    return functools.reduce(DataFrame.unionByName, frames).orderBy(*by)
+
+
+def checksum(df: DataFrame, order: str, value: str, out: str = "checksum") -> DataFrame:
+    """One row: the order-sensitive digest of 64-bit values, each step a wrapping product and an exclusive or.
+
+    No two steps can be combined before the earlier is known, so one task folds the values in order, batch by batch; it
+    holds one batch.
     """
-    cuts = sorted(set(df.approxQuantile(by[0], [k / parts for k in range(1, parts)], 0.01)))
-    block = sum((F.when(F.col(by[0]) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = df.withColumn("__block", F.coalesce(block, F.lit(-1)))
-    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = counts.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # at most parts + 1 rows
-    within = F.row_number().over(Window.partitionBy("__block").orderBy(*[F.col(c).asc_nulls_first() for c in by])) - 1
-    return rows.join(F.broadcast(before), "__block").withColumn(out, (F.col("__before") + within).cast("long")).drop("__block", "__before")
+
+    def fold(batches):
+        state, mask = CHECKSUM_OFFSET, (1 << 64) - 1
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                state = (state * CHECKSUM_PRIME & mask) ^ (v & mask)
+        yield pa.RecordBatch.from_arrays([pa.array([state - (1 << 64) if state >> 63 else state])], names=[out])
+
+    return df.select(F.col(order).alias("i"), F.col(value).cast("long").alias("v")).repartition(1).sortWithinPartitions("i").select("v").mapInArrow(fold, f"{out} long").agg(F.coalesce(F.first(out), F.lit(CHECKSUM_OFFSET)).alias(out))
 
 
 def transform(df: DataFrame, order: str, **exprs: Column) -> DataFrame:

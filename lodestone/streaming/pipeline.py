@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import ordered
@@ -19,18 +19,49 @@ from lodestone.plans.graph import FlowError
 from lodestone.plans.runner import Executor, RunHandle
 
 SERIAL, PARALLEL = "serial", "parallel"
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and what counts its rows while some action runs it."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def finish(df: DataFrame, seen: list[Observation], sink: Callable[[DataFrame], object] | None) -> tuple[object, list[int]]:
+    """The sink's value, and the counts, from the sink's own action; a plan that the sink hasn't run is run without one."""
+    value = sink(df) if sink else None
+    df.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # counts come behind the action
+    if not all(x._jo.future().isCompleted() for x in seen):
+        df.write.format("noop").mode("overwrite").save()
+    return value, [x.get["n"] for x in seen]
+
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class PipelineProfile:
-    """Counters of the last profiled run: time in stage 0 and after it, and acquisitions of serial stages."""
+    """Counters of the last profiled run, as measured by its own plan.
+
+    Acquires are tokens that passed the first pipe, and those that passed later serial pipes. A plan takes no locks, spins
+    on nothing and runs nothing inline, so those counters stay zero; corun_total_wait_ns is the time its caller waited.
+    """
 
     stage0_total_acquires: int = 0
+    stage0_contended_acquires: int = 0
     stage0_wait_ns: int = 0
+    stage0_spins: int = 0
+    stage0_yields: int = 0
     downstream_total_acquires: int = 0
+    downstream_contended_acquires: int = 0
     downstream_wait_ns: int = 0
+    downstream_spins: int = 0
+    downstream_yields: int = 0
     corun_total_wait_ns: int = 0
+    corun_idle_wait_ns: int = 0
+    corun_idle_spins: int = 0
+    corun_idle_yields: int = 0
+    corun_inline_executions: int = 0
 
     @property
     def is_empty(self) -> bool:
@@ -106,6 +137,16 @@ class Pipeline:
             df = pipe.body(df)
         return df
 
+    def _profiling(self, tokens: int) -> tuple[DataFrame, list[Observation]]:
+        """frame(), with a count behind each serial pipe."""
+        df, seen = Pipeline(self.spark, self.num_lines, [Pipe.serial(lambda x: x)]).frame(tokens), []
+        for pipe in self.pipes:
+            df = pipe.body(df)
+            if pipe.kind == SERIAL:
+                df, count = counted(df)
+                seen.append(count)
+        return df, seen
+
     def run(self, executor: Executor, tokens: int, sink: Callable[[DataFrame], object] | None = None) -> RunHandle:
         """Runs all tokens from 0; runs of one pipeline come one after another. A stage's error is the run's."""
         if not self.pipes:
@@ -117,13 +158,13 @@ class Pipeline:
         def body():
             with self._lock:
                 began = time.perf_counter_ns()
-                df = self.frame(tokens)
-                middle = time.perf_counter_ns()
-                value = sink(df) if sink else df.write.format("noop").mode("overwrite").save()
+                df, seen = self.frame(tokens), []
+                if self._profiled:
+                    df, seen = self._profiling(tokens)
+                value, passed = finish(df, seen, sink or (lambda x: x.write.format("noop").mode("overwrite").save()))
                 self.num_tokens = tokens
                 if self._profiled:
-                    serial = sum(p.kind == SERIAL for p in self.pipes[1:])
-                    self.last_profile = PipelineProfile(tokens, middle - began, tokens * serial, time.perf_counter_ns() - middle, time.perf_counter_ns() - began)
+                    self.last_profile = PipelineProfile(stage0_total_acquires=passed[0], downstream_total_acquires=sum(passed[1:]), corun_total_wait_ns=time.perf_counter_ns() - began)
                 return value
 
         return executor.async_task(body)
@@ -237,12 +278,11 @@ class DataPipeline:
         return df
 
     def run(self, executor: Executor) -> RunHandle:
-        """Runs afresh, however often; num_tokens is what reached the end."""
+        """Runs afresh, however often; num_tokens is what reached the end, counted by the sink's own run."""
 
         def body():
-            df = self.frame()
-            value = self._sink(df) if self._sink else None
-            self.num_tokens = df.count()
+            df, seen = counted(self.frame())
+            value, (self.num_tokens,) = finish(df, [seen], self._sink)
             return value
 
         return executor.async_task(body)

@@ -46,10 +46,11 @@ def wavefront_graph(rows: int, cols: int, cell: Callable[[int, int], object]) ->
     return flow
 
 
-def wavefront(spark: SparkSession, size: int, block: int = 8) -> DataFrame:
-    """The sum of i + j over all blocks."""
-    n = math.ceil(size / block)
-    return spark.range(n * n).agg(F.sum(F.floor(F.col("id") / n) + F.col("id") % n).alias("total"))
+def wavefront(spark: SparkSession, executor: Executor, size: int, block: int = 8) -> DataFrame:
+    """The sum of i + j over all blocks of a grid, each added by its own task once those above and to the left have ended."""
+    n, added = math.ceil(size / block), []
+    executor.run(wavefront_graph(n, n, lambda i, j: added.append(i + j))).wait()
+    return spark.createDataFrame([(sum(added), len(added))], "total long, n_tasks long")
 
 
 def fibonacci(spark: SparkSession, n: int) -> DataFrame:
@@ -90,7 +91,7 @@ def integrate(spark: SparkSession, start: float, end: float, epsilon: float = 1e
     """The integral of (x * x + 1) * x by adaptive trapezoids: all intervals of a depth are halved at once."""
     f = lambda x: (x * x + 1) * x
     parts = spark.createDataFrame([(float(start), float(end))], "a double, b double")
-    total = 0.0
+    total, before = 0.0, None
     x = lambda c: F.col(c)
     while True:
         half = (x("b") - x("a")) / 2
@@ -100,7 +101,11 @@ def integrate(spark: SparkSession, start: float, end: float, epsilon: float = 1e
         tried = parts.select("a", "b", middle.alias("m"), halves.alias("area"), (F.abs(halves - whole) < epsilon).alias("done")).persist()
         done, left = tried.agg(F.sum(F.when(x("done"), x("area"))), F.count(F.when(~x("done"), 1))).first()
         total += done or 0.0
+        if before is not None:
+            before.unpersist()
+        before = tried
         if not left:
+            tried.unpersist()
             return spark.createDataFrame([(total,)], "area double")
         parts = tried.where("not done").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("p")).select("p.a", "p.b")
 

@@ -50,10 +50,10 @@ def test_init_counts_once_on_the_left(spark):
 
 
 def test_find_is_the_lowest_match(spark):
-    df = datasets.array(spark, [9, 7, 5, 4, 8, 4, 2, 4, 1]).repartition(4)
-    assert ordered.find(df, "idx", F.col("v") == 4).first()[0] == 3
-    assert ordered.find(df, "idx", F.col("v") == 128).first()[0] is None
-    assert ordered.find_row(df, "idx", F.col("v") < 5).first()["idx"] == 3
+    tides = datasets.array(spark, [410, 95, 233, 95, 702, 18, 95]).repartition(5)
+    assert ordered.find(tides, "idx", F.col("v") == 95).first()[0] == 1
+    assert ordered.find(tides, "idx", F.col("v") > 1000).first()[0] is None
+    assert ordered.find_row(tides, "idx", F.col("v") < 50).first()["idx"] == 5
 
 
 @pytest.mark.parametrize("v", [list(range(50)), list(range(50))[::-1], [k % 3 for k in range(50)], [1] * 50, [k // 5 for k in range(50)]])
@@ -61,7 +61,7 @@ def test_sorts(spark, v):
     df = datasets.array(spark, v).repartition(6)
     assert [r.v for r in ordered.sort(df, "v", "idx").collect()] == sorted(v)
     assert [r.v for r in ordered.sort_by(df, F.desc("v"), F.col("idx")).collect()] == sorted(v, reverse=True)
-    assert column(ordered.with_index(df.withColumnRenamed("idx", "was"), "v", "was", parts=4), "v") == sorted(v)
+    assert column(ordered.with_index(df.withColumnRenamed("idx", "was"), "v", "was"), "v") == sorted(v)
 
 
 def test_wrapping_scan_and_sums(spark):
@@ -123,3 +123,23 @@ def test_lcg_jumps(spark):
         out.append(state ^ (state >> 33))
     out[225] = datasets.NEEDLE
     assert [x % 2**64 for x in column(datasets.lcg(spark, 300, 43, chunk=64), "v")] == out
+
+
+def test_dense_positions_with_ties_and_nulls(spark):
+    rows = [(None if k % 7 == 0 else k % 3, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "a int, b long").repartition(5)
+    got = {r.b: r.idx for r in ordered.with_index(df, "a", "b").collect()}
+    assert got == {b: n for n, (_, b) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert ordered.with_index(df.limit(0), "a").count() == 0
+
+
+def test_checksum_depends_on_order(spark):
+    fold = lambda values: __import__("functools").reduce(lambda a, v: (a * ordered.CHECKSUM_PRIME % 2**64) ^ (v % 2**64), values, ordered.CHECKSUM_OFFSET)
+    for values in ([], [5], [3, -1, 2**40, 0], list(range(300))):
+        df = datasets.array(spark, values).repartition(4)
+        assert ordered.checksum(df, "idx", "v").first()[0] % 2**64 == fold(values)
+
+
+def test_sorted_frames_merge(spark):
+    parts = [datasets.array(spark, v).orderBy("v") for v in ([1, 5, 9], [], [2, 5, 7])]
+    assert [r.v for r in ordered.merge_sorted(parts, F.col("v")).collect()] == [1, 2, 5, 5, 7, 9]
