@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import map_texts, materialise
+from lodestone.llm.common import free, map_texts, materialise, shared_dir
+from lodestone.llm.components import connected_components
+from lodestone.operators.ordered import with_index
 
-#: Fewer words than this tell nothing about where a passage comes from.
+#: A passage of fewer words is looked for in its own conversation alone.
 LEAST_WORDS = 2
-#: Turns in a block of the numbering, and tasks over which the quotes of one passage are dealt.
-BLOCK = 1000
-SALTS = 16
+#: A passage that so many messages quote is dealt over so many tasks.
+HOT = 10_000
+SALTS = 64
+#: A thread of so many messages has its first place told to all tasks.
+LONG = 100_000
 
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-_SAID = re.compile(r"^[ \t]*(?:on\b.{0,200}\bwrote|.{1,80}\b(?:wrote|writes|schrieb|escribió|a écrit)|-+ ?original message ?-+)[ \t]*:?[ \t]*$", re.I)
+_SAID = re.compile(r"^[ \t]*(?:on\b.*\bwrote|.+\b(?:wrote|writes|schrieb|escribió|a écrit)|-+ ?original message ?-+)[ \t]*:?[ \t]*$", re.I)
 _NOT_WORD = re.compile(r"[^\w]+")
 
 
@@ -28,21 +32,31 @@ def normal(text: str) -> str:
 
 
 def passage_hash(text: str) -> int | None:
+    """The hash of a passage's words; it is odd for one of fewer words than LEAST_WORDS, and none for one without words."""
     words = normal(text)
-    return xxhash.xxh3_64_intdigest(words) - 2**63 if words.count(" ") + 1 >= LEAST_WORDS and words else None
+    if not words:
+        return None
+    return (xxhash.xxh3_64_intdigest(words) - 2**63) & ~1 | (words.count(" ") + 1 < LEAST_WORDS)
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """A message's own text without quotes and lines that announce them, and its quoted passages as (level, text).
 
-    A passage is a run of lines of one level; its text has one line for each of the original's lines.
+    A passage is a run of lines of one level; its text has one line for each of the original's lines. A line of the
+    message itself announces a quote if the next line that isn't blank is one.
     """
     own, passages, last = [], [], 0
-    for line in (text or "").split("\n"):
-        m = _QUOTE.match(line)
+    lines = (text or "").split("\n")
+    quoted = [_QUOTE.match(line) for line in lines]
+    before_quote, follows = [False] * len(lines), False
+    for k in range(len(lines) - 1, -1, -1):
+        before_quote[k] = follows
+        if quoted[k] or lines[k].strip():
+            follows = bool(quoted[k])
+    for line, m, announces in zip(lines, quoted, before_quote, strict=True):
         level = m[1].count(">") if m else 0
         body = line[m.end() :] if m else line
-        if _SAID.match(body) and (level or _is_announced(text, line)):
+        if (level or announces) and _SAID.match(body):
             continue
         if not level:
             own.append(line)
@@ -54,12 +68,6 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip() if passages else (text or ""), passages
 
 
-def _is_announced(text: str | None, line: str) -> bool:
-    """Whether a quote follows the line."""
-    rest = (text or "").split(line, 1)[1].lstrip("\n \t")
-    return rest.startswith(">")
-
-
 def hashes(text: str) -> list[int]:
     """The hash of a passage, and of each of its lines, so that a quote of part of a message is found too."""
     parts = [text, *text.split("\n")] if "\n" in text.strip() else [text]
@@ -88,18 +96,25 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     links: (level, conv_id, turn, n) of every message that passages of a level come from, n hashes of them; a passage
     counts at its least level. A message's parent is the earlier message that most of its passages of the least linked
     level come from: one of its own conversation if there is any, else the first anywhere; ties go to the latest turn,
-    then the least conversation. A quote that nothing earlier says, or of fewer than LEAST_WORDS words, links with nothing. Null and empty texts quote nothing;
-    rows with a null conversation or turn have no parent and are none. Repeated rows are rows of their own with one
-    parent. For each passage the first message with it counts, found by an aggregate that tasks combine before the
-    shuffle, so no list of a passage's messages is ever built.
+    then the conversation whose hash is least. A quote that nothing earlier says links with nothing, and one of fewer than
+    LEAST_WORDS words with nothing but its own conversation. Null and empty texts quote nothing; rows with a null
+    conversation or turn have no parent and are none. Repeated rows are rows of their own with one parent. Whole texts
+    count; input columns besides the four are not read, so none can clash; an empty table gives an empty result.
+
+    For each passage the first message with it counts, found by an aggregate that tasks combine before the shuffle, so no
+    list of a passage's messages is ever built. Only passages that HOT messages quote are copied, to meet their quotes in
+    SALTS tasks.
     """
     named = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = materialise(parsed(named), "messages")
     said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own_hashes").alias("hash"))
     asked = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", F.explode("q.hashes").alias("hash")).groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
     near = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
+    asked = materialise(asked, "asked")
+    hot = asked.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("hash", F.lit(SALTS).alias("salts"))  # a row for HOT quotes at least
+    first = said.where("hash % 2 = 0").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = first.join(hot, "hash", "left").select("hash", "first", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    salted = asked.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     found = salted.join(near, ["hash", "conv_id"], "left").join(first, ["hash", "salt"], "left")
     same = F.col("near_turn") < F.col("turn")
     earlier = F.col("first") < F.struct("conv_id", "turn")
@@ -115,27 +130,27 @@ def reply_order(linked: DataFrame) -> DataFrame:
     """Adds thread_id, the conversation in which the chain of parents begins, and position, from 0, in that thread's reply order.
 
     A reply comes after what it answers: threads follow (conversation, turn), which parents precede. Conversations that
-    quote one another are one thread. Numbers come from counts by block of turns, so a thread of any length is numbered by
-    many tasks; equal turns follow their texts. Null conversations are a thread of their own.
+    quote one another are one thread; equal turns follow their texts, and equal texts come in any order. Null
+    conversations are a thread of their own, and null turns come first. Messages are sorted by ranges of all keys, so
+    many tasks number a thread of any length and any number of conversations. Columns pass through; ones named thread_id
+    and position are replaced. An empty table gives an empty result.
     """
-    from lodestone.llm.components import connected_components
-
     across = linked.where("parent_conv_id is not null and parent_conv_id <> conv_id").select("conv_id", "parent_conv_id")
     roots = connected_components(across, "conv_id", "parent_conv_id").select(F.col("node").alias("conv_id"), F.col("root").alias("thread_id"))
-    rows = linked.join(roots, "conv_id", "left").withColumn("thread_id", F.coalesce("thread_id", "conv_id"))
-    rows = materialise(rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1).cast("long"))), "threads")
-    from pyspark.sql import Window
-
-    key = ["thread_id", "conv_id", "block"]
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("thread_id").orderBy("conv_id", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("n")
-    keyed = before.select(*[F.col(c).alias(f"b_{c}") for c in key], "before")
-    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in key]
-    placed = rows.join(keyed, same[0] & same[1] & same[2])
-    within = F.row_number().over(Window.partitionBy(*key).orderBy("turn", "text")) - 1
-    return placed.withColumn("position", F.col("before") + within).drop("before", "block", *[f"b_{c}" for c in key])
+    rows = linked.drop("thread_id", "position").join(roots, "conv_id", "left").withColumn("thread_id", F.coalesce("thread_id", "conv_id"))
+    shared_dir(linked.sparkSession)
+    placed = with_index(rows, "thread_id", "conv_id", "turn", "text", out=(place := free("place", rows.columns)))
+    begins = materialise(placed.groupBy("thread_id").agg(F.min(place).alias("begin"), F.count("*").alias("n")), "threads")
+    long = begins.where(F.col("n") >= LONG).select(F.col("thread_id").alias("long_id"), F.col("begin").alias("long_begin"))  # a row for LONG messages at least
+    placed = placed.join(F.broadcast(long), placed.thread_id.eqNullSafe(long.long_id), "left")
+    short = begins.where(F.col("n") < LONG).select(F.col("thread_id").alias("short_id"), "begin")
+    rest = placed.where("long_begin is null")
+    rest = rest.join(short, rest.thread_id.eqNullSafe(short.short_id)).withColumn("position", F.col(place) - F.col("begin"))
+    whole = placed.where("long_begin is not null").withColumn("position", F.col(place) - F.col("long_begin"))
+    columns = [*rows.columns, "position"]
+    return rest.select(*columns).unionByName(whole.select(*columns))
 
 
 def chat_format(messages: DataFrame, **cols) -> DataFrame:
-    """Messages without quotes, linked and in reply order: link() and then reply_order()."""
+    """Messages without quotes, linked and in reply order: link() and then reply_order(), with their results for nulls, ties, repeats and empty tables."""
     return reply_order(link(messages, **cols))

@@ -1,5 +1,8 @@
 """BPE, HTML and quotes."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -180,14 +183,78 @@ def test_quotes_are_linked_and_removed(spark):
 def test_nested_quotes_are_linked(spark):
     rows = [(1, 0, "user", "shall we meet on Monday"), (1, 1, "user", "> shall we meet on Monday\nYes"), (1, 2, "user", "> Yes\n>> shall we meet on Monday\nGood then we will"), (1, 3, "user", "> Good then we will\n>> Yes\n>>> shall we meet on Monday\nSee you"), (2, 0, "user", ">>> See you\nfrom afar")]
     got = {(r.conv_id, r.turn): r for r in quote_linking.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert {k: (r.parent_conv_id, r.parent_turn, r.n_linked) for k, r in got.items()} == {(1, 0): (None, None, 0), (1, 1): (1, 0, 1), (1, 2): (1, 0, 1), (1, 3): (1, 2, 2), (2, 0): (1, 3, 1)}
-    assert {k: [tuple(x) for x in r.links] for k, r in got.items()} == {(1, 0): [], (1, 1): [(1, 1, 0, 1)], (1, 2): [(2, 1, 0, 1)], (1, 3): [(1, 1, 2, 1), (3, 1, 0, 1)], (2, 0): [(3, 1, 3, 1)]}
-
-
-def test_positions_span_blocks(spark):
-    df = spark.range(2500).selectExpr("1L as conv_id", "id as turn", "'user' as role", "concat('message number ', id) as text").repartition(4)
+    assert {k: (r.parent_conv_id, r.parent_turn, r.n_linked) for k, r in got.items()} == {(1, 0): (None, None, 0), (1, 1): (1, 0, 1), (1, 2): (1, 1, 2), (1, 3): (1, 2, 3), (2, 0): (1, 3, 1)}
+    assert {k: [tuple(x) for x in r.links] for k, r in got.items()} == {(1, 0): [], (1, 1): [(1, 1, 0, 1)], (1, 2): [(1, 1, 1, 1), (2, 1, 0, 1)], (1, 3): [(1, 1, 2, 1), (2, 1, 1, 1), (3, 1, 0, 1)], (2, 0): [(3, 1, 3, 1)]}
+
+
+def plain_link(rows):
+    """(n_linked, parent) of each (conv, turn, text) row, from all pairs of messages."""
+    norm = lambda t: re.sub(r"[^\w]+", " ", t.lower()).strip()
+    parts = lambda t: {x for p in ([t, *t.split("\n")] if "\n" in t.strip() else [t]) if (x := norm(p))}
+    own = [parts(quote_linking.parse(t)[0]) for _, _, t in rows]
+    out = []
+    for c, t, text in rows:
+        levels = {}
+        for level, p in quote_linking.parse(text)[1]:
+            for x in parts(p):
+                levels[x] = min(levels.get(x, 99), level)
+        votes = Counter()
+        for x, level in levels.items():
+            said = [(c2, t2) for (c2, t2, _), o in zip(rows, own, strict=True) if x in o and c2 is not None and t2 is not None]
+            near = [t2 for c2, t2 in said if c2 == c]
+            if c is None or t is None:
+                continue
+            if near and min(near) < t:
+                votes[level, (c, min(near))] += 1
+            elif said and " " in x and min(said) < (c, t):
+                votes[level, min(said)] += 1
+        best = {(-level, at[0] == c, n, at[1]): at for (level, at), n in votes.items()}
+        tied = [at for (level, at), n in votes.items() if (-level, at[0] == c, n, at[1]) == max(best)] if best else []
+        out.append((sum(votes.values()), set(tied) or {(None, None)}))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_links_equal_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(quote_linking, "HOT", hot)
+    g = np.random.default_rng(8)
+    said, rows = ["yes", "no way", "see you there", "shall we meet", "on Monday then"], []
+    for k in range(120):
+        lines = []
+        for _ in range(int(g.integers(0, 4))):
+            lines.append(">" * int(g.integers(1, 4)) + " " + str(g.choice(said)))
+        lines.insert(0, "Ann wrote:") if lines and g.random() < 0.5 else None
+        lines += [str(g.choice(said)) + (f" {g.integers(4)}" if g.random() < 0.7 else "") for _ in range(int(g.integers(0, 3)))]
+        rows.append((int(g.integers(6)) if k % 17 else None, k, "\n".join(lines)))
+    got = {(r.conv_id, r.turn): r for r in quote_linking.chat_format(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for (c, t, _), (n, parents) in zip(rows, plain_link(rows), strict=True):
+        r = got[c, t]
+        assert r.n_linked == n and (r.parent_conv_id, r.parent_turn) in parents
+    by: dict = {}
+    for r in got.values():
+        by.setdefault(r.thread_id, []).append(r)
+    for thread in by.values():
+        thread.sort(key=lambda r: (r.conv_id is not None, r.conv_id, r.turn))
+        assert [r.position for r in thread] == list(range(len(thread)))
+
+
+def test_announcing_lines():
+    long = "On " + "x" * 300 + " wrote:"
+    assert quote_linking.parse(f"{long}\n> a b\nreply")[0] == "reply"
+    assert quote_linking.parse("Bob wrote:\ntext\nBob wrote:\n\n> a b\nreply")[0] == "Bob wrote:\ntext\n\nreply"
+    assert quote_linking.parse("> a b\nas Bob wrote")[0] == "as Bob wrote"
+
+
+@pytest.mark.parametrize("long", [100_000, 100])
+def test_positions_of_long_threads(spark, monkeypatch, long):
+    monkeypatch.setattr(quote_linking, "LONG", long)
+    df = spark.range(2500).selectExpr("case when id < 2400 then 1L else null end as conv_id", "id as turn", "'user' as role", "concat('message number ', id) as text").repartition(4)
     got = {r.turn: r.position for r in quote_linking.chat_format(df).collect()}
-    assert got == {k: k for k in range(2500)}
+    assert got == {k: k if k < 2400 else k - 2400 for k in range(2500)}
+    text = "a very long message\n" * 50_000
+    one = spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "> a very long message\nyes")], "conv_id long, turn long, role string, text string")
+    assert [(r.turn, r.n_linked, len(r.text)) for r in quote_linking.chat_format(one).orderBy("turn").collect()] == [(0, 0, len(text)), (1, 1, 3)]
 
 
 def test_parse_levels():
