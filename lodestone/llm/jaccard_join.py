@@ -42,6 +42,8 @@ SIGNATURE = 8
 NEAREST = 2
 #: Lists up to this length are compared pair by pair at once.
 SHORT = 4
+#: Entries in a block of an index list that is looked at again: each two blocks of a longer one are a group of their own.
+LIST = 1024
 #: Classes in a block of a component, and the pairs that meet one copy of a whole set.
 BLOCK = 512
 DEALT = 256
@@ -237,12 +239,15 @@ def _first_pairs(percent: int):
 
 
 def _cross_pairs(percent: int, nearest: int | None):
-    """From lists sorted by token and n, with the component and signature of each entry: the pairs of different components that size, position and signature admit, or of each entry the nearest ones."""
+    """From lists sorted by key and n, with the component, block and signature of each entry: the pairs of different components that size, position and signature admit, or of each entry the nearest ones.
+
+    In a list of two blocks only pairs across them count.
+    """
 
     def run(batches):
-        for token, fp, n, pos, root, bits in _lists(batches, 6):
+        for token, fp, n, pos, root, own, across, bits in _lists(batches, 8):
             for begin, end in zip(heads := np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), np.r_[heads[1:], len(token)], strict=True):
-                f, s, p, r = (x[begin:end] for x in (fp, n, pos, root))
+                f, s, p, r, o, apart_only = (x[begin:end] for x in (fp, n, pos, root, own, across))
                 if (r == r[0]).all():
                     continue
                 b = np.stack(bits[begin:end])
@@ -262,7 +267,7 @@ def _cross_pairs(percent: int, nearest: int | None):
                             m = min(most, high)  # the later a position in a set of m, the fewer shingles are left to share
                             near.append(at[: np.searchsorted(places, m - overlap(s[k], m, percent), "right")])
                     w = np.sort(np.concatenate(near)) if near else np.zeros(0, np.int64)
-                    w = w[(r[w] != r[k]) & ((r[w] == top) | (w > k) | (nearest is not None))]
+                    w = w[(r[w] != r[k]) & (~apart_only[k] | (o[w] != o[k])) & ((r[w] == top) | (w > k) | (nearest is not None))]
                     w = w[_admits(s[k], p[k], s[w], p[w], percent)]
                     apart = np.bitwise_count((b[w] ^ b[k]).view(np.uint64)).sum(1)  # unsigned: of a negative number it counts another
                     near = apart <= differences(s[k], s[w], percent)
@@ -472,8 +477,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = entries.join(_signatures(base).select("fp", "bits"), "fp")
     for nearest in (NEAREST, None):
         rooted = materialise(entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"), "bits"), "lists")
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        cross = rooted.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "fp").select("token", "fp", "n", "pos", "root", "bits")
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("token", F.ceil(F.col("size") / LIST).alias("blocks"))
+        cross = rooted.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cross = cross.withColumn("key", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))).withColumn("across", F.col("own") != F.col("other"))
+        # an entry's own block meets itself once and each other block once; the group of two blocks holds both blocks' entries
+        cross = cross.repartition("key").sortWithinPartitions("key", "n", "fp").select("key", "fp", "n", "pos", "root", "own", "across", "bits")
         more, others = _links(cross.mapInArrow(_cross_pairs(percent, nearest), _PAIR), base, docs, text_col, words, percent)
         if more.limit(1).count():
             links, sets = links.unionByName(more), sets.unionByName(others)

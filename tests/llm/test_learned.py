@@ -243,6 +243,7 @@ def near(n, seed):
 def test_join_equals_brute_force_on_a_group_of_near_copies(spark, monkeypatch, seed, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "DEALT", block // 4)
+    monkeypatch.setattr(jaccard_join, "LIST", block)
     rows = near(150, seed) + [(1000 + k, f"common line of a few words here and then own words {k} {k + 1} {k + 2}") for k in range(40)] + [(2000 + k, t) for k, t in near(5, seed)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.component_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_join(docs).members.collect()}
