@@ -36,10 +36,15 @@ def minima(text: str | None) -> list[int | None]:
 
 
 def texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and y of the sampled rows; of a group of copies or near copies, one for each y counts, so that none outvotes the rest."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_class ids
+    """text and y of the sampled rows; of a group of copies or near copies, one for each y counts, so that none outvotes the rest.
+
+    Of an id's texts the least counts, and of copies the one of the least id, then the least text, so that every layout
+    of the table gives the same rows. Null texts are empty.
+    """
+    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most 2 * per_class ids
     names = [f"least{k}" for k in range(MINIMA)]
     found = map_texts(found, "text", [long(x) for x in names], lambda: lambda texts: list(zip(*map(minima, texts), strict=True)) or [[]] * MINIMA)
     for x in names:
-        found = found.dropDuplicates([x, "y"])
+        rest = ["doc_id", "text", *[n for n in names if n != x]]
+        found = found.groupBy(x, "y").agg(F.min(F.struct(*rest)).alias("first")).select(x, "y", "first.*")
     return found.select("text", "y")

@@ -1,5 +1,6 @@
 """Classifiers, the language model and the join."""
 
+import itertools
 import os
 from collections import Counter
 
@@ -95,8 +96,54 @@ def test_clean_text_is_left_alone(toxic, text):
 
 
 def test_restored_text(spark, toxic):
-    docs = spark.createDataFrame([(1, "you 1d10t here"), (2, None)], "doc_id long, text string")
-    assert [r.restored for r in toxicity.restore(docs, toxic[2]).orderBy("doc_id").collect()] == ["you idiot here", None]
+    docs = spark.createDataFrame([(1, "you 1d10t here", "x"), (2, None, "x"), (3, "", "x"), (4, "an i d i o t   s t u p i d here", "x"), (1, "you 1d10t here", "x")], "doc_id long, text string, restored string")
+    got = sorted((r.doc_id, r.restored or "") for r in toxicity.restore(docs, toxic[2]).collect())
+    assert got == [(1, "you idiot here")] * 2 + [(2, ""), (3, ""), (4, "an idiot stupid here")]
+    assert toxicity.restore(docs.limit(0), toxic[2]).count() == 0
+    long = spark.createDataFrame([(1, "fine words " * 50_000 + "1d10t")], "doc_id long, text string")
+    assert toxicity.restore(long, toxic[2]).first().restored == "fine words " * 50_000 + "idiot"
+
+
+def cost_of(path, model):
+    """The log-probability of one option for each step of a lattice."""
+    at, total = "^^", 0.0
+    for letters, cost in path:
+        total -= cost
+        for c in letters:
+            total += model.logp(at, "$" if c == " " else c)
+            at = "^^" if c == " " else at[-1] + c
+    return total + model.logp(at, "$")
+
+
+def test_decoding_equals_all_paths(toxic):
+    model, g = toxic[2].chars, np.random.default_rng(9)
+    for _ in range(60):
+        token = "".join(g.choice(list("idotsup 10!$.|5")) * int(g.choice([1, 1, 2, 3])) for _ in range(int(g.integers(1, 7)))).strip()
+        paths = list(itertools.product(*toxicity.lattice(token)))
+        best = max(cost_of(p, model) for p in paths)
+        out = toxicity.viterbi(token, model)
+        assert best == pytest.approx(max(cost_of(p, model) for p in paths if "".join(x for x, _ in p) == out), abs=1e-9)
+
+
+def test_scores_equal_a_plain_scorer(toxic):
+    model, g = toxic[2], np.random.default_rng(10)
+    words = toxicity.Words(model)
+    vocabulary = ["idiot", "1d10t", "stuupid", "good", "w0rthless", "tree,", "(stone)", "i.d.i.o.t", "12:30", "a", "Stupid!", "worth", "4 5"]
+    for _ in range(80):
+        text = " ".join(g.choice(vocabulary, int(g.integers(0, 9))))
+        found = {f for t in text.split() for w in " ".join(words.restored(t)).split() for f in toxicity.features(w) if f in model.lexicon}
+        found |= {f for m in toxicity._SPACED.finditer(text) for w in words.spaced(m[0]).split() for f in toxicity.features(w) if f in model.lexicon}
+        assert toxicity.Scorer(model)(text) == pytest.approx(1 - (1 - model.prior) * np.prod([1 - model.lexicon[f] for f in found]))
+
+
+def test_decoding_finds_obscured_held_out_words(toxic, monkeypatch):
+    hide = [lambda w: w.replace("i", "1").replace("o", "0"), lambda w: " ".join(w), lambda w: ".".join(w), lambda w: "".join(c * 2 if c in "tdl" else c for c in w), lambda w: w.replace("s", "$").replace("t", "+")]
+    rows = [" ".join(hide[k % 5](w) if w in ("idiot", "stupid", "worthless") else w for w in t.split()) for k, (_, t, y) in enumerate(r for r in toxic[0] if r[2] and brute.crc(r[0], 5) == 0)]
+    clean = [t for i, t, y in toxic[0] if not y and brute.crc(i, 5) == 0]
+    caught = lambda: np.mean([toxicity.Scorer(toxic[2])(t) >= 0.5 for t in rows])
+    assert len(rows) >= 15 and caught() > 0.9 and np.mean([toxicity.Scorer(toxic[2])(t) >= 0.5 for t in clean]) < 0.05
+    monkeypatch.setattr(toxicity, "viterbi", lambda token, model: token)
+    assert caught() < 0.4
 
 
 def test_toxic_rows_count_without_a_cap(spark):
