@@ -27,11 +27,12 @@ KINDS = (
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
-    # from header to end line, no further than the next five hyphens; of a key that is cut off, what is base64; the value is what follows the header
-    Kind("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([^-]*+(?:-[^-]++){0,16}+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{32,}){0,200})", 1, base=False),
+    # from header to end line, no further than the next five hyphens; of a key that is cut off, what is base64, up to 200
+    # lines, which is more than the longest keys in use have; the value is what follows the header
+    Kind("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]*+(?:-[^-]++){0,16}+-----END [A-Z ]*PRIVATE KEY-----|(?:[\s\\nr]{0,8}[A-Za-z0-9+/=]{32,}){0,200})", 1, base=False),
     Kind("hosted", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Kind("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
-    Kind("url", r"://[^\s/:@]{1,128}:[^\s/:@]{1,256}@", base=False),
+    Kind("url", r"://[^\s/:@]++:[^\s/:@]++@", base=False),
 )
 #: A value that so many owners, or several owners in so many repositories, hold is a copied example.
 SHARED_OWNERS = 3
@@ -41,6 +42,29 @@ LIVE_CHARS = 6
 #: Tasks over which the copies of one value are dealt where verdicts meet their spans.
 SALTS = 16
 REDACTED = "[SECRET]"
+#: Elements of an array that are folded together.
+BLOCK = 128
+
+
+def running(values: Column, combine, block: int = BLOCK) -> Column:
+    """For each of an array's integers the fold of those before it, from 0.
+
+    An aggregate that builds an array copies it at each step, so blocks are folded first and put together by their totals:
+    a long array costs a block's copies for each element, not its own.
+    """
+    empty = F.array().cast("array<int>")
+    step = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def blocks(v: Column) -> Column:
+        each = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / block).cast("int"))
+        return F.transform(each, lambda b: F.aggregate(F.slice(v, b * block + 1, F.lit(block)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def joined(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        step = lambda a, b: F.struct(combine(a["at"], b["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(b["out"], lambda x: combine(a["at"], x)))).alias("out"))
+        return F.flatten(F.aggregate(parts, start, step, lambda a: a["out"]))
+
+    return let(values, lambda v: let(blocks(v), joined))
 
 
 def spans_of(text: Column, kind: Kind, order: int) -> Column:
@@ -53,9 +77,10 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
 
     def placed(matches: Column) -> Column:
         """The text between two matches is what split leaves, so lengths of both add up to the next start."""
-        gaps = F.split(text, kind.pattern)
-        steps = F.zip_with(F.transform(gaps, F.length), F.transform(matches, F.length), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-        starts = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, s: F.struct((a["at"] + s["gap"] + F.coalesce(s["size"], F.lit(0))).alias("at"), F.concat(a["out"], F.array(a["at"] + s["gap"])).alias("out")), lambda a: a["out"])
+        gaps = F.transform(F.split(text, kind.pattern), F.length)
+        sizes = F.transform(matches, F.length)
+        # a match begins behind its gap and all gaps and matches before
+        starts = F.zip_with(gaps, running(F.zip_with(gaps, sizes, lambda g, m: g + F.coalesce(m, F.lit(0))), lambda a, b: a + b), lambda g, before: g + before)
         return F.filter(F.zip_with(matches, let(starts, lambda s: F.slice(s, 1, F.size(matches))), row), lambda x: x["long_enough"])
 
     kind_type = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string,value_hash:string,live_looking:boolean,long_enough:boolean>>"
@@ -75,7 +100,7 @@ def scan(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KIND
 def ownership(scanned: DataFrame, repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """For each candidate value's hash: n_repos and n_owners, counted exactly over the whole corpus, and `shared`.
 
-    Nulls are a repository or owner of their own. Distinct pairs are combined before they are dealt out, so a value that
+    Nulls are a repository or owner of their own; repeated rows count once; an empty table gives no rows. Distinct pairs are combined before they are dealt out, so a value that
     a third of the corpus holds reaches no task whole.
     """
     held = scanned.select(F.explode("found.value_hash").alias("value_hash"), F.coalesce(F.col(repo_col).cast("string"), F.lit("\0")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"))
@@ -86,7 +111,8 @@ def ownership(scanned: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
 def judge(scanned: DataFrame, key: list[str], repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """One row for each key that has spans: key, n_live, n_shared and `live`, its live spans as (start, end).
 
-    A span is live if its value looks so and few owners hold it. Rows with the same key count once; null keys are kept.
+    A span is live if its value looks so and few owners hold it. Rows with the same key count once; null keys are kept. An
+    empty table, or one without spans, gives no rows.
     scanned: a materialised scan, read twice. Verdicts are copied SALTS times and each copy meets a share of the spans.
     """
     spans = scanned.dropDuplicates(key).select(*key, F.explode("found").alias("s")).select(*key, "s.start", "s.end", "s.value_hash", "s.live_looking").withColumn("salt", F.pmod(F.xxhash64(*key, "start"), F.lit(SALTS)).cast("int"))
@@ -96,9 +122,19 @@ def judge(scanned: DataFrame, key: list[str], repo_col: str = "doc_id", owner_co
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each (start, end) span, sorted by start, replaced by a mark; overlapping spans share one."""
-    step = lambda a, s: F.when(s["end"] <= a["to"], a).otherwise(F.struct(F.concat(a["out"], F.when(s["start"] < a["to"], F.lit("")).otherwise(F.concat(F.substring(text, (a["to"] + 1).cast("int"), (s["start"] - a["to"]).cast("int")), F.lit(REDACTED)))).alias("out"), s["end"].alias("to")))
-    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("to")), step, lambda a: F.concat(a["out"], F.substring(text, (a["to"] + 1).cast("int"), F.length(text))))
+    """The text with each (start, end) span, sorted by start, replaced by a mark; overlapping spans share one.
+
+    Pieces are cut from the array of the text's characters, so a long text with many spans is read once.
+    """
+    chars = F.split(text, "")
+
+    def cut(c: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"].cast("int"))
+        pieces = F.zip_with(spans, running(ends, F.greatest), lambda s, to: F.when(s["start"] >= to, F.concat(F.array_join(F.slice(c, to + 1, F.greatest(s["start"].cast("int") - to, F.lit(0))), ""), F.lit(REDACTED))).otherwise(F.lit("")))
+        last = F.coalesce(F.array_max(ends), F.lit(0))
+        return F.concat(F.array_join(pieces, ""), F.array_join(F.slice(c, last + 1, F.size(c)), ""))
+
+    return let(chars, cut)
 
 
 def joined(found: Column) -> Column:
