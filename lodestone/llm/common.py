@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -189,6 +189,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart; null is a text of its own."""
+    return F.xxhash64(F.coalesce(text, F.lit("\0null")))
+
+
 def long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, text_key
 from lodestone.llm.quality_rules import let
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,11 +26,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), 0)
 
 
-def text_key(text: Column) -> Column:
-    """Tells texts of one id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("\0null")))
-
-
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key, n_words and words of each row: the forward side of the index, stored once and read by every step."""
     return materialise(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), words(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long")), "tokens")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, materialise, mix, remove, ship, word_hashes
+from lodestone.llm.common import chunks, materialise, mix, remove, ship, text_key, word_hashes
 from lodestone.llm.components import connected_components
 
 #: Words in a shingle, and the similarity of a link as a percentage.
@@ -132,7 +132,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
                 long, longs = pa.int64(), pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, long), pa.array(prints, long), pa.array(prefixes, longs), pa.array(signatures, longs)], names=["doc_id", "text_key", "n", "fp", "prefix", "bits"])
 
-    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     return named.mapInArrow(run, f"doc_id {kind}, text_key long, n long, fp long, prefix array<long>, bits array<long>")
 
@@ -299,7 +299,7 @@ def _sets(docs: DataFrame, text_col: str, words: int, base: DataFrame, needed: D
     """fp and held (the sorted hashes, as bytes) of each needed class."""
     texts = materialise(base.where("fp is not null").groupBy("fp").agg(F.min("text_key").alias("text_key")).join(needed, "fp").select("text_key"), "keys")
 
-    keyed = docs.select(F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    keyed = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     if texts.count() > FILTERED:
         keyed, shared = keyed.join(texts.distinct(), "text_key", "left_semi"), None
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontamination, gru_lm, html_extract, jaccard_join, quality_classifier, quality_rules, quote_linking, secret_scan, toxicity
-from lodestone.llm.common import materialise, read, remainder
+from lodestone.llm.common import materialise, read, remainder, text_key
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,7 +63,7 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("text_key", decontamination.text_key(F.col("text")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("text_key", text_key(F.col("text")))
     scanned = materialise(secret_scan.scan(docs).drop("text"), "spans")
     judged = secret_scan.judge(scanned.where(F.size("found") > 0), ["doc_id", "text_key"]).select(F.col("doc_id").alias("judged_id"), F.col("text_key").alias("judged_key"), "n_live", "n_shared")
     base = {k.name for k in secret_scan.KINDS if k.base}

@@ -30,6 +30,15 @@ def n_links(rows, percent=85):
     return [sum(linked(a, b, percent) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
 
 
+def groups(rows, percent):
+    """Places of (id, text) rows that links join."""
+    sets, out = [shingles(t) for _, t in rows], []
+    for i, a in enumerate(sets):
+        met = [g for g in out if any(linked(a, sets[j], percent) for j in g)]
+        out = [g for g in out if g not in met] + [[i, *(j for g in met for j in g)]]
+    return out
+
+
 def components(rows, percent=85):
     """component by place of (id, text) rows."""
     sets = [shingles(t) for _, t in rows]
