@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages over documents; each stage is written as Parquet and read again by the next.
 
-Every stage keeps the columns of documents, the last one excepted. Rows with a null or empty text go through the stages
-as their operators define it: the quality classifier gives them the prior, they link with nothing, and they hold neither
-benchmark passages nor secrets.
+Every stage keeps the columns of documents, the last one excepted, and knows a document by its id and text: other texts
+under an id, null ids and repeated rows are judged on their own. Rows with a null or empty text go through the stages as
+their operators define it: the quality classifier gives them the prior, they link with nothing, and they hold neither
+benchmark passages nor secrets. Texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontamination, jaccard_join, quality_classifier, secret_scan
-from lodestone.llm.common import materialise, read, remainder
+from lodestone.llm.common import materialise, read, remainder, remove, text_key
 from lodestone.llm.queries import tokenizer_path
 
 #: Documents of a lower score go.
@@ -38,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = members.where("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     again = members.where("root is not null").groupBy("doc_id", "text_key").count().where("count > 1")
     kept = materialise(kept.join(again.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"), F.lit(True).alias("again")), F.col("kept_id").eqNullSafe(F.col("again_id")) & (F.col("kept_key") == F.col("again_key")), "left"), "kept")
-    keyed = docs.withColumn("text_key", decontamination.text_key(F.col("text")))
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
     empty = members.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.lit(False).alias("again")).distinct()
     found = kept.select("kept_id", "kept_key", F.coalesce("again", F.lit(False)).alias("again")).unionByName(empty)
     out = keyed.join(found, keyed.doc_id.eqNullSafe(found.kept_id) & (keyed.text_key == found.kept_key))
@@ -53,12 +54,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that no benchmark passage contaminates."""
     found = materialise(decontamination.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
     bad = found.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (decontamination.text_key(docs.text) == bad.bad_key), "left_anti")
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (text_key(docs.text) == bad.bad_key), "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with live-looking secrets replaced by a mark, and n_chars to match; shared examples stay."""
-    keyed = docs.withColumn("text_key", decontamination.text_key(F.col("text")))
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
     spans = materialise(secret_scan.scan(keyed.select("doc_id", "source", "text", "text_key")).drop("text").where(F.size("found") > 0), "spans")
     judged = secret_scan.judge(spans, ["doc_id", "text_key"]).where("n_live > 0")
     live = materialise(judged.select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_key"), "live"), "live")
@@ -88,7 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name}")
+            if k:
+                remove(last)  # nothing reads the stage before any more
     return docs
