@@ -1,4 +1,4 @@
-"""Quality classifier: labelled latent-semantic vectors are broadcast, and every text's nearest neighbours among them vote."""
+"""Quality classifier: labelled latent-semantic vectors of words, word shapes and repetition are broadcast, and every text's nearest neighbours among them vote."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lodestone.llm.common import double, map_texts, ship
 
 #: Labelled rows of each class at most; their vectors are all that is broadcast: 2 * PER_CLASS * DIMENSIONS floats.
 PER_CLASS = 1500
-#: Hashed terms, latent dimensions, voting neighbours, and the power to which similarity weighs a vote.
+#: Hashed terms of shapes and ratios, and as many of words, latent dimensions, voting neighbours, and the power to which similarity weighs a vote.
 TERMS = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -27,6 +27,8 @@ WORDS_KEPT = 300_000
 #: Steps of the measured ratios, each of which is a term, and the weight of such a term.
 STEPS = 10
 RATIO_WEIGHT = 4.0
+#: Weight of a word against that of its shape.
+WORD_WEIGHT = 0.25
 
 _CLASSES = ((re.compile(r"[^\W\d_]+"), lambda m: "U" if m[0].isupper() else "u" if m[0][0].isupper() and m[0][1:].islower() else "l" if m[0].islower() else "m"), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"([^\w])\1+"), lambda m: m[1] * 2))
 
@@ -35,7 +37,7 @@ def shape(word: str) -> str:
     """A word with each run of letters, digits or one symbol put as its kind."""
     for find, kind in _CLASSES:
         word = find.sub(kind, word)
-    return word[:12]
+    return word
 
 
 class Shapes(dict):
@@ -61,6 +63,16 @@ class Shapes(dict):
         return n
 
 
+class Words(dict):
+    """Term numbers of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        n = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % TERMS
+        return n
+
+
 def ratio_terms(words: list[str], lines: list[str], chars: int) -> list[int]:
     """Terms for the share of different words, of repeated windows and of repeated lines, the mean length of words and lines, and the size."""
     n = len(words)
@@ -73,20 +85,22 @@ def ratio_terms(words: list[str], lines: list[str], chars: int) -> list[int]:
 
 
 class Terms:
-    """Weighted term vectors of texts."""
+    """Weighted term vectors of texts: shapes, pairs of shapes and ratios, then words."""
 
     def __init__(self):
-        self.number = Shapes().__getitem__
+        self.number, self.word = Shapes().__getitem__, Words().__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         if not words:
-            return np.zeros(TERMS, np.float32)
+            return np.zeros(2 * TERMS, np.float32)
         at = np.fromiter(map(self.number, words), np.int64, len(words))
         pairs = (at[:-1] * 31 + at[1:] * 17 + 7) % TERMS
         # shares, so that a long text does not differ from a short one of its kind
         counts = (np.bincount(at, minlength=TERMS) + 0.5 * np.bincount(pairs, minlength=TERMS)) / len(words)
-        out = np.sqrt(counts).astype(np.float32)
+        own = np.bincount(np.fromiter(map(self.word, words), np.int64, len(words)), minlength=TERMS) / len(words)
+        out = np.sqrt(np.concatenate([counts, own])).astype(np.float32)
+        out[TERMS:] *= np.float32(WORD_WEIGHT)
         np.add.at(out, ratio_terms(words, text.split("\n"), sum(map(len, words))), np.float32(RATIO_WEIGHT / 10))
         return out
 
@@ -137,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
     field = T.StructField("terms", T.BinaryType())
     rows = map_texts(labelled.texts(docs, chosen, id_col, text_col), "text", [field], make, ["y"]).toArrow()  # at most 2 * per_class rows
     y = rows.column("y").to_numpy().astype(np.float64)
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows.column("terms").to_pylist()]) if len(y) else np.zeros((0, TERMS), np.float32)
-    order = np.lexsort((x @ np.sin(np.arange(TERMS, dtype=np.float32)), y))  # whatever order the rows came in
+    x = np.stack([np.frombuffer(v, np.float32) for v in rows.column("terms").to_pylist()]) if len(y) else np.zeros((0, 2 * TERMS), np.float32)
+    order = np.lexsort((x @ np.sin(np.arange(2 * TERMS, dtype=np.float32)), y))  # whatever order the rows came in
     x, y = x[order], y[order]
     weights = np.log1p((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32)
     if not len(y):
-        return Model(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
+        return Model(weights, np.zeros((2 * TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
     _, _, axes = np.linalg.svd(unit(x * weights).astype(np.float64), full_matrices=False)
     model = Model(weights, axes[:DIMENSIONS].T.astype(np.float32), np.zeros((0, 1)), y, float(y.mean()))
     model.vectors = model.latent(x).astype(np.float32)

@@ -40,6 +40,54 @@ def test_quality_learns_shape_and_keeps_order_independent(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, s in got.items() if s >= 0.5}
 
 
+def test_votes_equal_plain_loops():
+    g = np.random.default_rng(11)
+    x = np.abs(g.standard_normal((70, 2 * quality_classifier.TERMS))).astype(np.float32)
+    model = quality_classifier.Model(g.random(2 * quality_classifier.TERMS).astype(np.float32), g.standard_normal((2 * quality_classifier.TERMS, 6)).astype(np.float32), np.zeros((0, 1)), (g.random(40) < 0.5).astype(float), 0.3)
+    model.vectors = model.latent(x[:40])
+    got = model.score(x[40:])
+    for row, score in zip(x[40:], got, strict=True):
+        t = row * model.weights
+        v = (t / np.linalg.norm(t)) @ model.basis
+        v /= np.linalg.norm(v)
+        near = sorted(((float(sum(a * b for a, b in zip(v, w, strict=True))), y) for w, y in zip(model.vectors, model.y, strict=True)), reverse=True)[: quality_classifier.NEIGHBOURS]
+        weight = [max(s, 0) ** quality_classifier.POWER for s, _ in near]
+        assert score == pytest.approx(sum(a * y for a, (_, y) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
+NO_PACKAGE = """
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
+from lodestone.llm import gru_lm, quality_classifier, toxicity
+
+def has(batches):
+    import importlib.util
+    import pyarrow as pa
+    yield pa.RecordBatch.from_arrays([pa.array([int(importlib.util.find_spec("lodestone") is not None)])], names=["n"])
+
+assert spark.range(1).mapInArrow(has, "n long").first().n == 0
+docs = spark.createDataFrame([(k, f"some words {{k}} idiot" if k % 2 else "other fine words here") for k in range(40)], "doc_id long, text string")
+labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+for op in (quality_classifier, toxicity):
+    assert op.score(docs, op.fit(docs, labels, F.lit(True))).count() == 40
+assert gru_lm.score(docs, F.lit(False)).count() == 40
+print("SCORED")
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("SPARK_", "PYSPARK_GATEWAY"))}
+    said = subprocess.run([sys.executable, "-c", NO_PACKAGE.format(root=root, shared=f"file://{tmp_path}/shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "SCORED" in said.stdout, said.stderr[-2000:]
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (15, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     for op in (quality_classifier, toxicity):
@@ -336,7 +384,9 @@ def test_signatures_bound_differences():
         assert bits <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1_000_000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 5)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(links, "a", "b").collect()}
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100}
