@@ -132,8 +132,8 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8
 _WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Bytes whose powers are held at once.
-_SEGMENT = 1 << 20
+#: Bytes whose powers are held at once: little enough for a core's cache.
+_SEGMENT = 1 << 16
 
 
 def mix(h: np.ndarray) -> np.ndarray:

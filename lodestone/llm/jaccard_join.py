@@ -309,10 +309,10 @@ def _sets(docs: DataFrame, text_col: str, words: int, base: DataFrame, needed: D
         met: set = set()
         filled = shared() if shared else None
         for batch in batches:
-            if filled is not None:  # few others than the needed ones pass
-                key = batch.column(0).to_numpy()
-                batch = batch.filter(pa.array(((filled[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1).astype(bool)))
             for part in chunks(batch, 1):
+                if filled is not None:  # few others than the needed ones pass
+                    key = part.column(0).to_numpy()
+                    part = part.filter(pa.array(((filled[(key & ((1 << FILTER_BITS) - 1)) >> 6] >> (key & 63)) & 1).astype(bool)))
                 prints, held = [], []
                 for h in shingle_sets(part.column(1), words):
                     fp = _print(h)
