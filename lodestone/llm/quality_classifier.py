@@ -20,6 +20,9 @@ TERMS = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
 POWER = 8
+#: Further directions that the orthogonal iteration carries, and its steps.
+EXTRA = 16
+ITERATIONS = 20
 #: Texts scored at once.
 BLOCK = 512
 #: Different words whose shape a task remembers.
@@ -109,6 +112,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def principal(x: np.ndarray) -> np.ndarray:
+    """The DIMENSIONS leading right singular vectors of x, as columns, by orthogonal iteration: it holds no second matrix of x's size."""
+    size = min(DIMENSIONS + EXTRA, *x.shape)
+    q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((x.shape[1], size)))
+    for _ in range(ITERATIONS):
+        q, _ = np.linalg.qr((x.T @ (x @ q.astype(np.float32))).astype(np.float64))
+    _, _, turn = np.linalg.svd(x @ q.astype(np.float32), full_matrices=False)
+    return (q @ turn.T)[:, :DIMENSIONS]
+
+
 @dataclass
 class Model:
     """weights and basis take term vectors to latent ones; vectors and y are the labelled rows; prior is the share of label 1."""
@@ -146,19 +159,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
 
     def make():
         terms = Terms()
-        return lambda texts: [[terms(t).tobytes() for t in texts]]
+        return lambda texts: [[terms(t).astype(np.float16).tobytes() for t in texts]]
 
     field = T.StructField("terms", T.BinaryType())
     rows = map_texts(labelled.texts(docs, chosen, id_col, text_col), "text", [field], make, ["y"]).toArrow()  # at most 2 * per_class rows
     y = rows.column("y").to_numpy().astype(np.float64)
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows.column("terms").to_pylist()]) if len(y) else np.zeros((0, 2 * TERMS), np.float32)
-    order = np.lexsort((x @ np.sin(np.arange(2 * TERMS, dtype=np.float32)), y))  # whatever order the rows came in
-    x, y = x[order], y[order]
+    x = np.zeros((len(y), 2 * TERMS), np.float16)
+    for k, v in enumerate(rows.column("terms")):
+        x[k] = np.frombuffer(v.as_buffer(), np.float16)
+    del rows
+    order = np.lexsort((x.astype(np.float32) @ np.sin(np.arange(2 * TERMS, dtype=np.float32)), y))  # whatever order the rows came in
+    x, y = x[order].astype(np.float32), y[order]
     weights = np.log1p((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32)
     if not len(y):
         return Model(weights, np.zeros((2 * TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
-    _, _, axes = np.linalg.svd(unit(x * weights).astype(np.float64), full_matrices=False)
-    model = Model(weights, axes[:DIMENSIONS].T.astype(np.float32), np.zeros((0, 1)), y, float(y.mean()))
+    model = Model(weights, principal(unit(x * weights)).astype(np.float32), np.zeros((0, 1)), y, float(y.mean()))
     model.vectors = model.latent(x).astype(np.float32)
     return model
 

@@ -55,6 +55,14 @@ def test_votes_equal_plain_loops():
         assert score == pytest.approx(sum(a * y for a, (_, y) in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
 
 
+def test_principal_directions_equal_the_decomposition():
+    g = np.random.default_rng(12)
+    x = (g.standard_normal((120, 90)) * (2.0 ** -np.arange(90) + 0.01)).astype(np.float32)
+    ours, axes = quality_classifier.principal(x), np.linalg.svd(x.astype(np.float64), full_matrices=False)[2][:10]
+    assert np.allclose(np.abs((axes @ ours[:, :10]).diagonal()), 1, atol=1e-3)
+    assert quality_classifier.principal(x[:5]).shape == (90, 5)
+
+
 NO_PACKAGE = """
 import os, sys
 sys.path.insert(0, {root!r})
