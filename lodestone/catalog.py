@@ -522,7 +522,19 @@ def w3_black_scholes(spark, d):
     return e.select("event_id", F.round(kernels.black_scholes(F.col("s"), F.lit(40.0), F.lit(0.05), F.lit(0.2), F.lit(0.5), F.lit(False)), 4).alias("price"))
 
 
-@query()
+def _stages() -> str:
+    """The eight stages, each a hundred rounds of powers of cosines; beyond a float's range is infinity, whose cosine is no number."""
+    whole = "trunc(greatest(least(pow(cos(v) * v + 1, 5), 2147483647.0), -2147483648.0)) % 2147483647.0"
+    real = "case when isnan(v) or isinf(v) then 'nan'::double when pow(cos(v) * v + 1, 4) > 3.4028235e38 then 'inf'::double else cast(cast(pow(cos(v) * v + 1, 4) as float) as double) end"
+    starts = ["cast(t as double) from range(0, 256) r(t)", "cast(cast(v as float) as double)", "case when isnan(v) then 0.0 else trunc(greatest(least(v, 2147483647.0), -2147483648.0)) end", "v + 50", "v", "v"]
+    parts = []
+    for k, (start, step) in enumerate(zip(starts, (whole, real, whole, whole, whole, whole), strict=True)):
+        source = start if k == 0 else f"{start} from s{k - 1} where k = 100"
+        parts.append(f"s{k}(t, k, v) as (select t, 0, {source} union all select t, k + 1, {step} from s{k} where k < 100)")
+    return "with recursive " + ", ".join(parts) + " select t as token, cast(v as bigint) as v from s5 where k = 100"
+
+
+@query(_stages())
 def w4_data_pipeline(spark, d):
     return workloads.data_stages(spark, 256)
 
