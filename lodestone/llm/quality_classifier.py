@@ -26,7 +26,7 @@ ITERATIONS = 20
 #: Texts scored at once.
 BLOCK = 512
 #: Different words whose shape a task remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 #: Steps of the measured ratios, each of which is a term, and the weight of such a term.
 STEPS = 10
 RATIO_WEIGHT = 4.0
