@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -210,7 +211,13 @@ def scan_opaque(df: DataFrame, order: str, value: str, accumulate: Callable, com
     """An inclusive scan by opaque functions: accumulate(array) gives an array's running fold, combine(a, array) puts a before each.
 
     Blocks are folded in Arrow batches; the totals, one for each block, are scanned in blocks too while they exceed one.
+    Positions may leave gaps, of whole blocks too.
     """
+    return _scan_opaque(df, order, value, accumulate, combine, out, block, exclusive=False).drop("known")
+
+
+def _scan_opaque(df: DataFrame, order: str, value: str, accumulate: Callable, combine: Callable, out: str, block: int, exclusive: bool) -> DataFrame:
+    """order, out and known; where nothing stands before a position of an exclusive scan, known is false and out has no meaning."""
     kind = df.schema[value].dataType.simpleString()
     rows = df.select(F.col(order).cast("long").alias("i"), F.col(value).alias("v")).withColumn("b", F.floor(F.col("i") / block))
 
@@ -221,27 +228,35 @@ def scan_opaque(df: DataFrame, order: str, value: str, accumulate: Callable, com
     totals = rows.groupBy("b").applyInPandas(total, f"i long, v {kind}")
     top = df.agg(F.max(order)).first()[0]
     if top is None:
-        return df.select(F.col(order).cast("long").alias(order), F.col(value).alias(out))
+        return df.select(F.col(order).cast("long").alias(order), F.col(value).alias(out), F.lit(False).alias("known"))
+
+    def before(folded: np.ndarray, first, known: bool) -> dict:
+        """What stands before each value of a running fold."""
+        return {"v": np.r_[np.array([first], folded.dtype), folded[:-1]], "known": np.r_[known, np.ones(len(folded) - 1, bool)]}
+
     if top // block > block:
-        scanned = scan_opaque(totals, "i", "v", accumulate, combine, "v", block)
+        scanned = _scan_opaque(totals, "i", "v", accumulate, combine, "v", block, exclusive=True)
     else:
 
         def whole(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("i")
-            return pd.DataFrame({"i": group["i"], "v": accumulate(group["v"].to_numpy())})
+            folded = accumulate(group["v"].to_numpy())
+            return pd.DataFrame({"i": group["i"].to_numpy(), **before(folded, folded[0], False)})
 
-        scanned = totals.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, f"i long, v {kind}")  # at most `block` totals
-    carried = scanned.select((F.col("i") + 1).alias("b"), F.col("v").alias("carry"))
+        scanned = totals.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(whole, f"i long, v {kind}, known boolean")  # at most `block` totals
+    carried = scanned.select(F.col("i").alias("b"), F.col("v").alias("carry"), "known")
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
-        folded = accumulate(group["v"].to_numpy())
-        if group["known"].iloc[0]:
-            folded = combine(group["carry"].iloc[0].astype(folded.dtype), folded)
-        return pd.DataFrame({order: group["i"], out: folded})
-
-    joined = rows.join(carried.withColumn("known", F.lit(True)), "b", "left").na.fill({"known": False}).na.fill(0, ["carry"])
-    return joined.groupBy("b").applyInPandas(finish, f"{order} long, {out} {kind}")
+        folded, known = accumulate(group["v"].to_numpy()), bool(group["known"].iloc[0])
+        carry = group["carry"].iloc[0].astype(folded.dtype) if known else folded[0]
+        if known:
+            folded = combine(carry, folded)
+        got = before(folded, carry, known) if exclusive else {"v": folded, "known": np.ones(len(folded), bool)}
+        return pd.DataFrame({order: group["i"].to_numpy(), out: got["v"], "known": got["known"]})
+
+    joined = rows.join(carried, "b", "left").na.fill({"known": False}).na.fill(0, ["carry"])
+    return joined.groupBy("b").applyInPandas(finish, f"{order} long, {out} {kind}, known boolean")
 
 
 def sort(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -87,6 +87,14 @@ def test_opaque_product_wraps(spark):
     assert spark.range(1).select(intmath.wrapping_mul32(F.lit(2**31 - 1), F.lit(2**31 - 1))).first()[0] == 1
 
 
+@pytest.mark.parametrize("block", [4, 8, 1000])
+def test_opaque_scans_go_on_over_gaps(spark, block):
+    at = [*range(10), *range(40, 53), 90, 700, *range(2000, 2020)]
+    df = spark.createDataFrame([(i, 3 + k) for k, i in enumerate(at)], "idx long, v long").repartition(5)
+    got = ordered.scan_opaque(df, "idx", "v", np.cumsum, lambda c, a: a + c, block=block)
+    assert column(got) == list(itertools.accumulate(3 + k for k in range(len(at))))
+
+
 def test_positions_are_checked(spark):
     with pytest.raises(ValueError):
         ordered.check_order(spark.createDataFrame([(1,), (1,)], "idx long"), "idx")
