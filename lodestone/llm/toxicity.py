@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from math import log
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import labelled
-from lodestone.llm.common import double, map_texts, ship
+from lodestone.llm.common import chunks, double, map_texts, materialise, remove, ship
 
-#: Labelled rows of each class at most.
-PER_CLASS = 4_000
+#: One in so many clean rows is read first, to leave out features that these alone show to be none of the lexicon.
+FIRST = 16
 #: Beginnings of words that are features besides the whole word.
 PREFIXES = (4, 5, 6)
 #: A feature is in the lexicon from this log-likelihood ratio against the share of toxic rows, and this share of toxic rows among its own.
 LEAST_EVIDENCE = 16.0
 LEAST_SHARE = 0.75
-#: Features in the lexicon at most, by evidence, and word contexts in the language model: they bound what is broadcast.
+#: Features in the lexicon at most, by evidence, and words and contexts in the language model, by counts over all rows: they bound what is broadcast.
 LEXICON = 20_000
 CONTEXTS = 60_000
 #: Different words that a task remembers.
@@ -148,15 +150,102 @@ def features(word: str) -> list[str]:
     return [f"={word}"] + [f"^{word[:k]}" for k in PREFIXES if len(word) >= k]
 
 
-def met(text: str) -> list[tuple[str, int]]:
-    """Features of a text, each with the 64-bit hash of the words around its first place."""
-    words, out = [plain(t) for t in text.split()], {}
-    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        if w and f"={w}" not in out:
-            context = xxhash.xxh3_64_intdigest(f"{before} {after}") - 2**63
-            for f in features(w):
-                out.setdefault(f, context)
-    return list(out.items())
+class Plain(dict):
+    """plain() of tokens, remembered."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = self[token] = plain(token)
+        return found
+
+    def words(self, text: str) -> list[str]:
+        return [self[t] for t in text.split()]
+
+
+def context(words: list[str], at: int) -> int:
+    """The 64-bit hash of the words around a place."""
+    return xxhash.xxh3_64_intdigest(f"{words[at - 1] if at else ''} {words[at + 1] if at + 1 < len(words) else ''}") - 2**63
+
+
+def places(words: list[str]) -> dict[str, int]:
+    """Each word's first place."""
+    found = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
+    found.pop("", None)
+    return found
+
+
+def met(words: list[str], at: dict[str, int], wanted: Callable[[str], Iterable[str]] = features) -> list[tuple[str, int]]:
+    """The features wanted of a text's words, each with the context of its first place."""
+    first: dict[str, int] = {}
+    for w, k in at.items():
+        for f in wanted(w):
+            if k < first.get(f, len(words)):
+                first[f] = k
+    return [(f, context(words, k)) for f, k in first.items()]
+
+
+class Wanted(dict):
+    """For each word those of its features that are among the candidates."""
+
+    def __init__(self, candidates: frozenset[str]):
+        self.candidates = candidates
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = self[word] = tuple(f for f in features(word) if f in self.candidates)
+        return found
+
+
+def _contexts(texts: DataFrame) -> DataFrame:
+    """f, y and context of every feature of every text."""
+
+    def run(batches):
+        plain_of = Plain()
+        for batch in batches:
+            for part in chunks(batch, 1):
+                rows = []
+                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = plain_of.words(text)
+                    rows += [(f, y, c) for f, c in met(words, places(words))]
+                f, y, c = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(y, pa.int32()), pa.array(c, pa.int64())], names=["f", "y", "context"])
+
+    return texts.select("y", "text").mapInArrow(run, "f string, y int, context long")
+
+
+def _counted(texts: DataFrame, candidates: frozenset[str]) -> DataFrame:
+    """Two kinds of rows over all texts: f, n and good, summed in each task, say how many rows, and clean rows, have a word of letters; f and context say where candidates stand in clean rows."""
+    shared = ship(texts.sparkSession, candidates)
+
+    def run(batches):
+        wanted, plain_of, sums = Wanted(shared()), Plain(), (Counter(), Counter())
+
+        def flush():
+            every = [w for w in sums[0].keys() | sums[1].keys() if w.isalpha()]
+            good = [sums[0][w] for w in every]
+            n = [g + sums[1][w] for g, w in zip(good, every, strict=True)]
+            for s in sums:
+                s.clear()
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array(n, pa.int64()), pa.array(good, pa.int64()), pa.nulls(len(every), pa.int64())], names=["f", "n", "good", "context"])
+
+        for batch in batches:
+            for part in chunks(batch, 1):
+                rows = []
+                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = plain_of.words(text)
+                    at = places(words)
+                    sums[y].update(at.keys())
+                    if not y:
+                        rows += met(words, at, wanted.__getitem__)
+                f, c = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int64()), pa.array(c, pa.int64())], names=["f", "n", "good", "context"])
+                if len(sums[0]) + len(sums[1]) >= WORDS_KEPT:
+                    yield flush()
+        yield flush()
+
+    return texts.select("y", "text").mapInArrow(run, "f string, n long, good long, context long")
 
 
 @dataclass
@@ -231,37 +320,41 @@ class Scorer:
         return min(max(1 - clean, 0.0), 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Learns the lexicon and the character model from at most per_class labelled rows of each class.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns the lexicon and the character model from all labelled rows; of near copies one stands for all.
 
-    Without toxic rows the lexicon is empty and every score is the same, under 0.5.
+    A feature counts once for each context it has in toxic rows, and in clean ones: a passage that rows share shows its
+    words in one context. Toxic rows and some clean ones are counted first. More clean rows only lower a feature's share
+    of toxic ones, so what falls short already is left out; the others are counted over all clean rows, so that the
+    lexicon is that of all rows. Without toxic rows it is empty and every score is the same, under 0.5.
     """
-    from lodestone.llm.common import materialise
-
-    chosen = labelled.sample(labels, label_col, usable, per_class, id_col)
-    rows = materialise(labelled.texts(docs, chosen, id_col, text_col), "labelled")
-
-    def make():
-        return lambda texts: [[met(t) for t in texts]]
-
-    kind = T.StructField("features", T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("context", T.LongType())]), False))
-    each = map_texts(rows, "text", [kind], make, ["y"]).select("y", F.explode("features").alias("x")).select("y", "x.f", "x.context")
+    chosen = materialise(labelled.every(labels, label_col, usable, id_col), "labels")
+    rows = materialise(labelled.once(docs, chosen, id_col, text_col), "labelled")
     n = dict(rows.groupBy("y").count().collect())
     share = n.get(1, 0) / max(sum(n.values()), 1)
     if not 0 < share < 1:
         return Model({}, CharModel(), 0.02)
-    # a passage that rows of a class share shows its words in one context; such rows count as one
-    of = each.groupBy("f", "y", "context").agg(F.count("*").alias("n")).groupBy("f")
-    counts = of.agg(F.sum("n").alias("n"), F.count(F.when(F.col("y") == 1, 1)).alias("bad"), F.count(F.when(F.col("y") == 0, 1)).alias("good")).withColumn("p", (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1))
-    evidence = F.col("bad") * F.log(F.col("p") / share) + F.col("good") * F.log((1 - F.col("p")) / (1 - share))
-    top = counts.where((F.col("p") >= LEAST_SHARE) & (evidence >= LEAST_EVIDENCE)).orderBy(evidence.desc(), "f").limit(LEXICON).select("f", "p").collect()
-    common = counts.where(F.col("f").startswith("=") & F.col("f").rlike(r"^=\p{L}+$")).orderBy(F.desc("n"), "f").limit(CONTEXTS).select("f", "n", "good").collect()
-    words = Counter({r.f[1:]: r.n for r in common})
+    first = materialise(rows.where((F.col("y") == 1) | (F.pmod("text_key", F.lit(FIRST)) == 0)), "first")
+    each = _contexts(labelled.all_texts(docs, first, id_col, text_col)).distinct()
+    counts = each.groupBy("f").agg(F.count(F.when(F.col("y") == 1, 1)).alias("bad"), F.count(F.when(F.col("y") == 0, 1)).alias("good"))
+    p = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)
+    evidence = F.col("bad") * F.log(p / share) + F.col("good") * F.log((1 - p) / (1 - share))
+    # with that share, good is at most bad * (1 - LEAST_SHARE) / LEAST_SHARE, which bounds the evidence
+    most = F.col("bad") * (-log(share) - log(1 - share) * (1 - LEAST_SHARE) / LEAST_SHARE)
+    candidates = materialise(counts.where((p >= LEAST_SHARE) & (most >= LEAST_EVIDENCE)).select("f", "bad"), "candidates")
+    counted = materialise(_counted(labelled.all_texts(docs, rows, id_col, text_col), frozenset(r.f for r in candidates.collect())), "counted")
+    good = counted.where("n is null").select("f", "context").distinct().groupBy("f").agg(F.count("*").alias("good"))
+    exact = candidates.join(good, "f", "left").na.fill(0, ["good"]).withColumn("p", p)
+    top = exact.where((p >= LEAST_SHARE) & (evidence >= LEAST_EVIDENCE)).orderBy(evidence.desc(), "f").limit(LEXICON).select("f", "p").collect()
+    common = counted.where("n is not null").groupBy("f").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy(F.desc("n"), "f").limit(CONTEXTS).collect()
+    words = Counter({r.f: r.n for r in common})
     for r in top:  # words that mark toxic rows are what the channel hides
         if r.f[0] == "=":
             words[r.f[1:]] *= 20
     lexicon = {r.f: r.p for r in top}
-    return Model(lexicon, CharModel.train(words), 0.02, frozenset(r.f[1:] for r in common if r.good and r.f not in lexicon))
+    for made in (chosen, rows, first, candidates, counted):
+        remove(made)
+    return Model(lexicon, CharModel.train(words), 0.02, frozenset(r.f for r in common if r.good and f"={r.f}" not in lexicon))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

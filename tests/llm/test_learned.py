@@ -216,6 +216,25 @@ def test_toxic_rows_count_without_a_cap(spark):
     assert "=moron" not in toxicity.fit(docs, labels, F.lit(True)).lexicon  # one passage, however often, is one
 
 
+def test_all_labelled_rows_are_counted(spark):
+    g = np.random.default_rng(4)
+    word = lambda: "".join(g.choice(list("abcdeinorst"), 7))
+    rows = [(k, " ".join([*(word() for _ in range(4)), "moron" if k < 4500 and k % 2 or k > 9000 and k % 50 == 0 else "apple", *(word() for _ in range(4))]), int(k < 4500)) for k in range(10_000)]
+    rows.append((10_000, rows[1][1] + " extra", 1))  # a copy
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(docs, labels, F.lit(True)).lexicon
+    seen = {y: Counter() for y in (0, 1)}
+    for _, t, y in rows:
+        words = [toxicity.plain(x) for x in t.split()]
+        seen[y].update({(f, words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "") for k, w in enumerate(words) for f in toxicity.features(w) if w in ("moron", "apple")})
+    of = {y: Counter(f for f, *_ in x) for y, x in seen.items()}
+    assert of[1]["=moron"] == 2250 and of[0]["=moron"] == 19
+    for f in toxicity.features("moron"):
+        assert lexicon[f] == pytest.approx((of[1][f] + 0.5) / (of[1][f] + of[0][f] + 1))
+    assert not any("app" in f for f in lexicon)
+
+
 def net_of(words, counts, seed, spread, dtype=np.float64):
     v = gru_lm.Vocabulary([gru_lm.word_hash(w) for w in words], np.array(counts, float), np.ones(gru_lm.RARE), np.ones(gru_lm.RARE), 50, 20)
     net, g = gru_lm.Gru(v), np.random.default_rng(seed)
