@@ -22,8 +22,10 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.common import chunks, materialise, remove, ship
 
-#: Words with an output of their own, embedding and state size, and classes of rare words.
-FREQUENT = 600
+#: Words with an output of their own: one for so many training tokens, between these bounds; embedding and state size, and classes of rare words.
+TOKENS_A_WORD = 1_500
+LEAST_FREQUENT = 600
+FREQUENT = 8_000
 EMBED = 8
 STATE = 8
 RARE = 24
@@ -32,7 +34,7 @@ STEPS = 16
 LANES = 512
 SCORED = 4096
 #: States whose outputs are found at once in scoring.
-OUTPUTS = 32_768
+OUTPUTS = 16_384
 #: Rounds of training, and the training tokens of a shard in a round, on average.
 ROUNDS = 4
 SHARD_TOKENS = 1_000_000
@@ -364,12 +366,13 @@ def _counted(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def vocabulary(words: DataFrame) -> Vocabulary:
     """words: word (hash), rare and c, a row for each word. Counts are those of the whole training corpus."""
     seen = words.where("c > 0")
-    top = seen.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c", "rare").collect()
     sums = {r.rare: (r.n, r.v) for r in seen.groupBy("rare").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # RARE rows
     n, v = np.zeros(RARE), np.zeros(RARE)
     for k, (a, b) in sums.items():
         n[k], v[k] = a, b
     every = int(n.sum()), int(v.sum())
+    size = min(max(every[0] // TOKENS_A_WORD, LEAST_FREQUENT), FREQUENT)
+    top = seen.orderBy(F.desc("c"), "word").limit(size).select("word", "c", "rare").collect()
     for r in top:  # frequent words are in no rare class
         n[r.rare] -= r.c
         v[r.rare] -= 1

@@ -325,6 +325,13 @@ def test_held_out_texts_gain_over_unigrams(spark):
     assert (r.s - r.b) / r.n > 0.1
 
 
+def test_words_of_the_network_grow_with_the_corpus(spark):
+    words = lambda n, c: spark.range(n).selectExpr("id as word", "cast(id % 24 as int) as rare", f"cast({c} as long) as c")
+    assert len(gru_lm.vocabulary(words(3000, 1000)).words) == 2000
+    assert len(gru_lm.vocabulary(words(3000, 10)).words) == gru_lm.LEAST_FREQUENT
+    assert len(gru_lm.vocabulary(words(9000, 10_000)).words) == gru_lm.FREQUENT
+
+
 def test_hot_words_are_counted_apart(spark, odd, monkeypatch):
     whole = sorted((str(r.doc_id), r.n_known, r.train_tokens, round(r.base_score, 6)) for r in gru_lm.score(odd, remainder("doc_id", 7) == 2).collect())
     monkeypatch.setattr(gru_lm, "HOT_CHUNKS", 1)
